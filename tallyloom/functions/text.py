@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # Every character that counts as white space in Unicode text.
 SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # The 32 ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -56,7 +56,7 @@ def capitalised(text: Column) -> Column:
 
 
 def without_punctuation(text: Column) -> Column:
-    return F.translate(text, F.lit(PUNCTUATION), F.lit(""))
+    return F.translate(text, PUNCTUATION, "")
 
 
 def qa_normalised(text: Column) -> Column:
@@ -155,7 +155,15 @@ def without_unanswerable(prediction: Column) -> Column:
 
 
 def json_or_null(text: Column) -> Column:
-    return F.try_parse_json(text)
+    """Parsed JSON, null unless the whole text is exactly one value.
+
+    The parser stops after the first value, so the text is also tried as the only
+    element of a list and as the only field of an object: no trailing text fits both.
+    """
+    as_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.size(F.try_variant_get(as_list, "$", "array<variant>")) == 1
+    return F.when(alone & as_field.isNotNull(), F.try_parse_json(text))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
