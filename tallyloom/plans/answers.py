@@ -203,7 +203,7 @@ def classification_rows(spark, sf_dir):
 
 
 # SQL form of the answer normaliser: every character that is no part of a word gets a
-# mark on hits sides, so that a marked article is a whole word.
+# mark on both sides, so that a marked article is a whole word.
 def norm_sql(s):
     marked = f"chr(1) || regexp_replace(lower({s}), '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1)"
     spaced = f"replace(regexp_replace({marked}, chr(1) || '(a|an|the)' || chr(1), chr(1) || ' ' || chr(1), 'g'), chr(1), '')"

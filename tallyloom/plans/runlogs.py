@@ -1 +1,139 @@
-"""To come."""
+"""Training-log queries. Log lines are made from events; a user is a log file."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import runlogs as R
+from tallyloom.plans.registry import query, table
+from tallyloom.plans.scoring import rounded
+from tallyloom.sources import records
+from tallyloom.sources.workspace import new_table_path
+
+LINE_SQL = """lines AS (SELECT user_id AS file, event_id AS line_no, CASE WHEN event_id % 9 = 0 THEN 'now ' || CASE event_type WHEN 'view' THEN 'Pretraining' WHEN 'click' THEN 'SFT' WHEN 'error' THEN 'Preference tuning' WHEN 'signup' THEN 'stage 4' ELSE 'idle' END
+  ELSE 'step=' || event_id % 40 || ' loss=' || CASE WHEN event_id % 17 = 0 THEN '0.0005' ELSE value::DECIMAL(12,2)::VARCHAR END || ' acc=1.00% lr=' || '5.0e-05' END AS line FROM events),
+named AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)pretrain') THEN 'pretrain' WHEN regexp_matches(line, '(?i)sft') THEN 'sft' WHEN regexp_matches(line, '(?i)preference') THEN 'dpo' WHEN regexp_matches(line, '(?i)stage 4') THEN 'verifier' END AS named FROM lines),
+staged AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stage,
+  nullif(regexp_extract(line, 'step=(\\d+)\\s+loss=([\\d.]+)', 1), '')::BIGINT AS step, nullif(regexp_extract(line, 'step=(\\d+)\\s+loss=([\\d.]+)', 2), '')::DOUBLE AS loss FROM named),
+points AS (SELECT file, stage, step, loss, 5.0e-05::DOUBLE AS lr FROM staged WHERE stage IS NOT NULL AND loss > 0.001
+  QUALIFY row_number() OVER (PARTITION BY file, stage, step ORDER BY line_no) = 1)"""
+
+
+def log_lines(spark, sf_dir):
+    announced = (
+        F.when(F.col("event_type") == "view", "Pretraining")
+        .when(F.col("event_type") == "click", "SFT")
+        .when(F.col("event_type") == "error", "Preference tuning")
+        .when(F.col("event_type") == "signup", "stage 4")
+        .otherwise("idle")
+    )
+    loss = F.when(F.col("event_id") % 17 == 0, "0.0005").otherwise(
+        F.col("value").cast("decimal(12,2)").cast("string")
+    )
+    line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("now "), announced)).otherwise(
+        F.concat(
+            F.lit("step="), (F.col("event_id") % 40).cast("string"), F.lit(" loss="), loss,
+            F.lit(" acc=1.00% lr=5.0e-05"),
+        )
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), line.alias("line")
+    )
+
+
+@query("loss_points", f"WITH {LINE_SQL} SELECT * FROM points")
+def loss_points(spark, sf_dir):
+    return R.loss_points(log_lines(spark, sf_dir))
+
+
+@query(
+    "smoothed_losses",
+    f"""WITH {LINE_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY file, stage ORDER BY step) AS r,
+      avg(loss) OVER (PARTITION BY file, stage ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM points)
+    SELECT file, stage, step, loss, lr, round(CASE WHEN r >= 5 THEN m ELSE loss END, 6) AS smoothed FROM w""",
+)
+def smoothed_losses(spark, sf_dir):
+    found = R.smoothed(R.loss_points(log_lines(spark, sf_dir)), window=5)
+    return rounded(found, "smoothed", digits=6)
+
+
+@query(
+    "stage_summary",
+    f"""WITH {LINE_SQL}, s AS (SELECT file, stage, count(*) AS steps, min(step) AS first_step, max(step) AS last_step, arg_min(loss, step) AS first_loss,
+      arg_max(loss, step) AS last_loss, min(loss) AS min_loss, max(loss) AS max_loss FROM points GROUP BY 1, 2)
+    SELECT s.*, (SELECT min(step) FROM points p WHERE p.file = s.file AND p.stage = s.stage AND p.loss = s.min_loss) AS min_loss_step,
+      round((first_loss - last_loss) / first_loss * 100, 6) AS improvement FROM s""",
+)
+def stage_summary(spark, sf_dir):
+    found = R.stage_summary(R.loss_points(log_lines(spark, sf_dir)))
+    return rounded(found, "improvement", digits=6)
+
+
+@query(
+    "progress_rates",
+    """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) + 1 AS n, (doc_id + 1) * 0.5::DOUBLE AS el FROM documents WHERE text <> ''),
+    r AS (SELECT row_number() OVER w AS examples, (sum(n) OVER w)::BIGINT AS tokens, el FROM c WINDOW w AS (ORDER BY doc_id))
+    SELECT examples, tokens, round(tokens / el, 6) AS tokens_per_s FROM r WHERE examples % 100 = 0""",
+)
+def progress_rates(spark, sf_dir):
+    from tallyloom.plans.corpus import counted_documents
+
+    timed = counted_documents(spark, sf_dir).withColumn(
+        "elapsed_s", (F.col("doc_id") + 1) * F.lit(0.5)
+    )
+    return rounded(R.progress_rates(timed, 100, "doc_id"), "tokens_per_s", digits=6)
+
+
+@query(
+    "token_budget",
+    """SELECT o_orderkey, tokens_seen, round(tokens_seen / wanted, 9) AS ratio, CASE WHEN tokens_seen / wanted > 3 THEN 'overtrained' WHEN tokens_seen / wanted > 1.5 THEN 'slightly overtrained' ELSE 'fine' END AS band
+    FROM (SELECT o_orderkey, (o_custkey + 1) * 128 * 1024 AS tokens_seen, (floor(o_totalprice)::BIGINT + 1) * 20 AS wanted FROM orders)""",
+)
+def token_budget(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (F.col("o_custkey") + 1).alias("steps"),
+        F.lit(128).alias("batch"),
+        F.lit(1024).alias("seq_len"),
+        (F.floor("o_totalprice") + 1).alias("parameters"),
+    )
+    found = R.token_budget(runs).select("o_orderkey", "tokens_seen", "ratio", "band")
+    return rounded(found, "ratio")
+
+
+@query(
+    "metric_records",
+    """SELECT event_type AS phase, event_id AS step, value AS loss, round(CASE WHEN value / 10 < 20 THEN exp(value / 10) ELSE 'inf'::DOUBLE END, 4) AS perplexity FROM events""",
+)
+def metric_records(spark, sf_dir):
+    """Metric records written as JSON lines and read back."""
+    from tallyloom.operators.losses import loss_perplexity
+
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("phase"),
+        F.col("event_id").alias("step"),
+        F.col("value").alias("loss"),
+        loss_perplexity(F.col("value") / 10).alias("perplexity"),
+        F.lit(1e-4).alias("lr"),
+    )
+    path = new_table_path(spark, "metrics")
+    records.append_metrics(events, path)
+    return rounded(records.read_metrics(spark, path).drop("lr"), "perplexity", digits=4)
+
+
+@query(
+    "run_curves",
+    """SELECT 'run-' || user_id AS run_name, 'ckpt-' || event_id AS checkpoint, event_id AS global_step, value AS val_loss, round(exp(value / 100), 6) AS val_perplexity FROM events""",
+)
+def run_curves(spark, sf_dir):
+    """Checkpoint metrics written as CSV, read back and put in curve order."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_name"),
+        F.concat(F.lit("ckpt-"), F.col("event_id").cast("string")).alias("checkpoint"),
+        F.col("event_id").alias("global_step"),
+        F.col("value").alias("val_loss"),
+        F.round(F.exp(F.col("value") / 100), 6).alias("val_perplexity"),
+    )
+    path = new_table_path(spark, "checkpoints")
+    records.write_checkpoint_metrics(events, path)
+    return R.run_curves(records.read_checkpoint_metrics(spark, path))
