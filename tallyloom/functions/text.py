@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Every character that counts as white space in Unicode text.
 SPACES = (
@@ -186,13 +187,13 @@ def repetition(text: Column, window: int) -> Column:
     return bound(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), share)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(texts: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for."""
     return texts.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded_ignoring_errors(raw: pd.Series) -> pd.Series:
     """UTF-8 text of a binary column without its broken bytes."""
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

@@ -116,16 +116,16 @@ def piece_mask(pieces: Column) -> Column:
     )
 
 
-def subword_ids(text: Column, tokenizer_file: str) -> Column:
-    """Ids from a saved subword tokenizer, batch by batch; every worker loads it once."""
+def subword_ids(text: Column, tokenizer: str) -> Column:
+    """Ids from a tokenizer given as its JSON text; every worker builds it once."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        coder = Tokenizer.from_str(tokenizer)
         for batch in batches:
-            found = tokenizer.encode_batch(batch.fillna("").tolist(), add_special_tokens=False)
+            found = coder.encode_batch(batch.fillna("").tolist(), add_special_tokens=False)
             yield pd.Series([item.ids for item in found])
 
     return encode(text)

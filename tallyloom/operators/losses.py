@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyloom.functions.text import strip
 from tallyloom.functions.tokens import word_count
@@ -179,7 +180,7 @@ def gram_overlap(pairs: DataFrame, keys: Sequence[str], n: int, out: str) -> Dat
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def longest_common_f1(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of two token arrays, by bit rows."""
 

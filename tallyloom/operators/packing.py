@@ -5,6 +5,8 @@ Inputs hold ``before`` (tokens ahead of the row in the stream) and ``n_tokens``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +36,21 @@ def _walk_chunk(shard_size: int, emit_starts: bool):
     return walk
 
 
+@dataclass(frozen=True)
+class OpenShard:
+    """Where packing stopped: rows and tokens so far, shards begun, end of the open one."""
+
+    rows: int = 0
+    tokens: int = 0
+    shards: int = 0
+    reach: int = 0
+
+
 def aligned_shards(
-    docs: DataFrame, shard_size: int, rows_per_chunk: int = 1 << 20
+    docs: DataFrame,
+    shard_size: int,
+    rows_per_chunk: int = 1 << 20,
+    after: OpenShard = OpenShard(),
 ) -> DataFrame:
     """Add ``shard_id``: the longest run of whole documents that fits, at least one.
 
@@ -43,9 +58,15 @@ def aligned_shards(
     it. The stream is cut into chunks of ``rows_per_chunk`` rows and all chunks are
     walked at once from an assumed entry point; a chunk is walked again only when the
     chunks before it turn out to hand over at another point. The first chunk is
-    entered at 0, so when nothing changes any more every entry is right. The walk
-    reads two integers per row; the driver keeps two integers per chunk.
+    entered where packing stopped, so when nothing changes any more every entry is
+    right. The walk reads two integers per row; the driver keeps two per chunk.
     """
+    return _aligned(docs, shard_size, rows_per_chunk, after)[0]
+
+
+def _aligned(
+    docs: DataFrame, shard_size: int, rows_per_chunk: int, after: OpenShard
+) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     filled = docs.filter(F.col("n_tokens") > 0)
     spans = pin(
@@ -63,7 +84,9 @@ def aligned_shards(
     found = spans.groupBy("chunk").agg(F.min("before").alias("first")).collect()
     first = {r["chunk"]: r["first"] for r in found}
     order = sorted(first)
-    entries = dict(first)
+    if not order:
+        return filled.withColumn("shard_id", F.lit(0).cast("long")), after.reach
+    entries = {**first, order[0]: max(first[order[0]], after.reach)}
     leaves_at: dict[int, int] = {}
     to_walk = order
     while to_walk:
@@ -74,15 +97,13 @@ def aligned_shards(
             .collect()
         )
         leaves_at.update({r["chunk"]: r["leaves_at"] for r in walked})
-        reach, to_walk = 0, []
+        reach, to_walk = after.reach, []
         for c in order:
             entry = max(reach, first[c])
             if entries[c] != entry:
                 entries[c] = entry
                 to_walk.append(c)
             reach = max(reach, leaves_at[c])
-    if not order:
-        return filled.withColumn("shard_id", F.lit(0).cast("long"))
     starts = (
         entered(order)
         .groupBy("chunk")
@@ -95,8 +116,35 @@ def aligned_shards(
     numbered = totals_by_key(
         opened, {"_opened": F.col("_starts")}, "position", width=rows_per_chunk
     )
-    return numbered.select(
-        *docs.columns, (F.col("_opened") + F.col("_starts") - 1).alias("shard_id")
+    shard_id = F.lit(after.shards - 1) + F.col("_opened") + F.col("_starts")
+    return numbered.select(*docs.columns, shard_id.cast("long").alias("shard_id")), reach
+
+
+def append_aligned(
+    docs: DataFrame, key: str, shard_size: int, after: OpenShard, rows_per_chunk: int = 1 << 20
+) -> tuple[DataFrame, OpenShard]:
+    """Pack further documents in ``key`` order behind what is packed already."""
+    placed = pin(
+        totals_by_key(
+            docs.filter(F.col("n_tokens") > 0),
+            {"before": F.col("n_tokens"), "position": F.lit(1)},
+            key,
+        ).withColumns(
+            {
+                "before": F.col("before") + F.lit(after.tokens),
+                "position": F.col("position") + F.lit(after.rows),
+            }
+        )
+    )
+    packed, reach = _aligned(placed, shard_size, rows_per_chunk, after)
+    packed = pin(packed)
+    total = packed.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.max("shard_id") + 1, F.lit(after.shards)).alias("shards"),
+    ).first()
+    return packed, OpenShard(
+        after.rows + total["rows"], after.tokens + total["tokens"], total["shards"], reach
     )
 
 

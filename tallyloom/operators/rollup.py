@@ -307,8 +307,10 @@ def latest_results(appended: DataFrame, keys: Sequence[str], version: str) -> Da
 
 def rows_per_source(explicit: int | None, steps: int, batch: int, sources: int) -> int:
     """Row cap of each instruction source: as given, else enough for the run."""
+    if sources <= 0:
+        raise ValueError("there must be at least one source")
     if explicit is not None:
         if explicit <= 0:
             raise ValueError("the row cap must be positive")
         return explicit
-    return max(1024, -(-steps * batch // max(1, sources)))
+    return max(1024, -(-max(1, steps * batch) // sources))
