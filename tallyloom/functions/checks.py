@@ -26,6 +26,7 @@ KWARGS = (
 ALLOWED_ANSWERS = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
 # Fixed patterns.
 WORD = r"[A-Za-z']+"
+CAPITAL_WORD = r"(?<![A-Za-z'])(?:'+[A-Z]|[A-Z][A-Z'])[A-Z']*(?![A-Za-z'])"
 PARAGRAPH_BREAK = r"(?U)\n\s*\n"
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
 PLACEHOLDER = r"\[[^\]]+\]"
@@ -135,12 +136,8 @@ def letter_frequency(r: Column, k: Column) -> Column:
 
 
 def capital_word_frequency(r: Column, k: Column) -> Column:
-    shouted = F.filter(
-        F.regexp_extract_all(r, F.lit(WORD), F.lit(0)),
-        lambda w: (F.char_length(w) > 1) & w.rlike("[A-Z]") & ~w.rlike("[a-z]"),
-    )
     return _compares(
-        F.size(shouted),
+        F.regexp_count(r, F.lit(CAPITAL_WORD)),
         F.coalesce(filled(k["capital_relation"]), k["relation"]),
         F.coalesce(F.nullif(k["capital_frequency"], F.lit(0)), k["frequency"]),
     )

@@ -22,14 +22,11 @@ CHAT_OPEN, CHAT_CLOSE = "<|im_start|>", "<|im_end|>"
 RESPONSE_MARKER = "### Response:\n"
 
 
-def characters(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
-
 def char_ids(text: Column) -> Column:
-    return F.transform(
-        characters(text), lambda c: (F.ascii(c) % CHAR_IDS + FIRST_CHAR_ID).cast("int")
+    ids = F.transform(
+        F.split(text, ""), lambda c: (F.ascii(c) % CHAR_IDS + FIRST_CHAR_ID).cast("int")
     )
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(ids)
 
 
 def word_count(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.draws import exponential, uniform
 from tallyloom.operators.ordered import running_totals, totals_by_key, totals_by_sort
+from tallyloom.sources.workspace import pin
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,13 @@ def quota_mix(
     ``targets`` holds source, source_pos, target and target_total. The share of its
     target a source had received before a document decides when that document is
     taken, so the loop is a sort on that share. The share also cuts the sort into
-    slices of about equal token counts.
+    slices of about equal token counts. The rated rows are pinned, because the slices
+    are summed and then sorted.
     """
     served = totals_by_key(
         docs, {"source_before": F.col("n_tokens")}, key, groups=["source"]
     )
-    rated = (
+    rated = pin(
         served.join(targets.filter(F.col("target") > 0), "source")
         .withColumn("served_share", F.col("source_before") / F.col("target"))
         .filter(F.col("served_share") < 1)
@@ -171,7 +173,7 @@ def interleave_with_replay(
     kept = counted.filter(F.col("draw") <= max(ends.values())).select(
         "draw",
         "source",
-        F.floor(F.col("taken") / size_of[F.col("source")]).cast("long").alias("replay"),
+        F.call_function("div", F.col("taken"), size_of[F.col("source")].cast("long")).alias("replay"),
         (F.col("taken") % size_of[F.col("source")]).alias("_row"),
     )
     return kept.join(indexed, ["source", "_row"]).drop("_row")

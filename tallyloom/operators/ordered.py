@@ -3,7 +3,9 @@
 A plain ``sum() over (order by ...)`` sorts the whole table in one task. Here rows
 are first put into ordered chunks, each chunk is summed, the chunk sums are
 accumulated (one row per chunk), and the running value is finished inside each
-chunk. Rows are shuffled once, on (group, chunk), whatever the group sizes are.
+chunk. Rows are shuffled once, on (group, chunk), whatever the group sizes are; the
+chunk sums are added up before their shuffle. The input is read twice, so an expensive
+one should be pinned or stored first, with the few columns the order needs.
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ from tallyloom.sources.workspace import pin
 CHUNK = 1 << 16
 
 
+def whole(number: Column, width: int) -> Column:
+    """Integer quotient, exact for every long."""
+    return F.call_function("div", number.cast("long"), F.lit(width).cast("long"))
+
+
 def key_chunk(key: str, width: int = CHUNK) -> Column:
-    """Chunk number of a unique integer key: at most ``width`` rows share one."""
-    return F.floor(F.col(key) / F.lit(width)).cast("long")
+    """Chunk number of a unique integer key: at most ``2 * width`` rows share one."""
+    return whole(F.col(key), width)
 
 
 def running_totals(
@@ -39,7 +46,6 @@ def running_totals(
     staged = df.withColumn("_chunk", chunk)
     for name, value in values.items():
         staged = staged.withColumn(f"_v_{name}", value)
-    staged = staged.repartition(*[F.col(k) for k in keys])
 
     chunk_sums = staged.groupBy(*keys).agg(
         *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values]
@@ -105,9 +111,7 @@ def carry_forward(
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row, in key order inside a group."""
     keys = [*groups, "_chunk"]
-    staged = df.withColumn("_chunk", key_chunk(key, width)).repartition(
-        *[F.col(k) for k in keys]
-    )
+    staged = df.withColumn("_chunk", key_chunk(key, width))
     last_seen = staged.groupBy(*keys).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col(key))).alias("_last")
     )
@@ -142,7 +146,7 @@ def trailing_mean(
     """
     if not 1 <= window <= width:
         raise ValueError(f"window must be between 1 and {width}")
-    home = F.floor(F.col(position) / width).cast("long")
+    home = whole(F.col(position), width)
     feeds_next = F.col(position) % width >= width - (window - 1)
     spread = df.withColumn("_home", home).withColumn(
         "_chunk",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import totals_by_key
+from tallyloom.operators.ordered import totals_by_key, whole
 from tallyloom.sources.workspace import pin
 
 
@@ -73,7 +73,7 @@ def _aligned(
         filled.select(
             "before",
             "n_tokens",
-            F.floor(F.col("position") / rows_per_chunk).cast("long").alias("chunk"),
+            whole(F.col("position"), rows_per_chunk).alias("chunk"),
         )
     )
 
@@ -155,8 +155,7 @@ def split_by_size(docs: DataFrame, size: int, id_name: str, arrays=("ids",)) ->
     """
     end = F.col("before") + F.col("n_tokens")
     numbers = F.sequence(
-        F.floor(F.col("before") / size).cast("long"),
-        F.floor((end - 1) / size).cast("long"),
+        whole(F.col("before"), size), whole(end - 1, size)
     )
     others = [c for c in docs.columns if c not in (*arrays, "before", "n_tokens")]
 

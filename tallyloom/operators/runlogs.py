@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordered import CHUNK, carry_forward, totals_by_key, trailing_mean
+from tallyloom.sources.workspace import pin
 
 # Fixed pattern of a loss line: step, loss and learning rate.
 LOSS_LINE = r"step=(\d+)\s+loss=([\d.]+).*?lr=([\d.e+-]+)"
@@ -30,20 +31,21 @@ def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     """First loss of each step in each stage of a log file.
 
     The stage named last before a line is the line's stage; lines before any stage
-    are dropped.
+    are dropped. Lines are parsed once; only those that name a stage or a loss are kept.
     """
     stage = F.lit(None).cast("string")
     for name, pattern in reversed(list(STAGES.items())):
         stage = F.when(F.col("line").rlike(pattern), name).otherwise(stage)
     part = lambda i: F.regexp_extract("line", LOSS_LINE, i)
-    marked = lines.select(
+    parsed = lines.select(
         "file",
         "line_no",
         stage.alias("named"),
         part(1).try_cast("long").alias("step"),
         part(2).try_cast("double").alias("loss"),
         part(3).try_cast("double").alias("lr"),
-    ).filter(F.col("named").isNotNull() | F.col("step").isNotNull())
+    )
+    marked = pin(parsed.filter(F.col("named").isNotNull() | F.col("step").isNotNull()))
     staged = carry_forward(marked, "named", "line_no", ["file"], "stage", width)
     usable = staged.filter(
         F.col("stage").isNotNull() & F.col("step").isNotNull() & (F.col("loss") > SMALLEST_LOSS)
@@ -58,7 +60,7 @@ def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
 def smoothed(points: DataFrame, window: int = 10, width: int = CHUNK) -> DataFrame:
     """Trailing mean of the losses in step order; the first ``window - 1`` stay raw."""
     groups = ["file", "stage"]
-    placed = totals_by_key(points, {"place": F.lit(1)}, "step", groups, width)
+    placed = totals_by_key(pin(points), {"place": F.lit(1)}, "step", groups, width)
     return trailing_mean(placed, "loss", "place", groups, window, "smoothed", width).drop("place")
 
 

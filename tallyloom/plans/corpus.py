@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.draws import uniform
 from tallyloom.functions.tokens import word_count
 from tallyloom.operators import mixing
-from tallyloom.operators.ordered import first_per_group
 from tallyloom.operators.packing import mix_report
 from tallyloom.plans.registry import query, table
 from tallyloom.sources import corpora
+from tallyloom.sources.workspace import pin
 
 # The twenty sources of the driver table, weighted 1..5 in turn.
 SHARES = [mixing.SourceShare(f"src{i}", i % 5 + 1.0) for i in range(20)]
@@ -49,10 +50,15 @@ UNIFORM_SQL = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503
 
 
 def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-empty documents with their word count and one end-of-text token."""
+    """Non-empty documents with their word count and one end-of-text token.
+
+    Texts are read and counted once; all later steps use the three pinned numbers.
+    """
     docs = corpora.text_rows(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
-    return docs.select(
-        "doc_id", "source", (word_count(F.col("text")) + 1).cast("long").alias("n_tokens")
+    return pin(
+        docs.select(
+            "doc_id", "source", (word_count(F.col("text")) + 1).cast("long").alias("n_tokens")
+        )
     )
 
 
@@ -302,8 +308,6 @@ def worker_stream(spark, sf_dir):
 )
 def seeded_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    from tallyloom.functions.draws import uniform
-
     return mixing.shuffled(docs, seed=42, key="doc_id").withColumn(
         "order_key", F.round(uniform(42, F.col("doc_id")), 12)
     )
@@ -315,7 +319,9 @@ def seeded_shuffle(spark, sf_dir):
     sum(n_tokens)::BIGINT AS total_tokens FROM counted GROUP BY source""",
 )
 def corpus_statistics(spark, sf_dir):
-    return corpora.statistics(counted_documents(spark, sf_dir)).withColumn(
+    docs = corpora.text_rows(table(spark, sf_dir, "documents"), "text", ["source"])
+    counted = docs.select("source", (word_count(F.col("text")) + 1).alias("n_tokens"))
+    return corpora.statistics(counted).withColumn(
         "avg_tokens", F.round("avg_tokens", 6)
     )
 

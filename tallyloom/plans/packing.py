@@ -228,13 +228,14 @@ def packed_chat_turns(spark, sf_dir):
         .filter(F.col("_answered") & (F.col("_total") <= 4096))
     )
     closing = F.when(F.col("turn") == F.col("_last"), 1).otherwise(0)
-    rows = sized.join(kept, "conv_id").select(
-        "conv_id", "turn", "role", "text", closing.alias("closing"),
+    lengths = sized.join(kept, "conv_id").select(
+        "conv_id", "turn", closing.alias("closing"),
         (F.col("_n") + closing).cast("long").alias("n_tokens"),
     )
-    return totals_by_sort(
-        rows, {"before": F.col("n_tokens")}, [F.col("conv_id"), F.col("turn")]
+    placed = totals_by_sort(
+        lengths, {"before": F.col("n_tokens")}, [F.col("conv_id"), F.col("turn")]
     )
+    return placed.join(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"])
 
 
 @query(
