@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.checks import check
+from tallyloom.functions.checks import KWARGS, check
 from tallyloom.operators.scoring import share_of
 
 
@@ -15,8 +15,11 @@ def checked_instructions(prompts: DataFrame, keys: list[str]) -> DataFrame:
     A missing kwargs list counts as one empty entry per id, otherwise the shorter
     list decides.
     """
-    ids, kwargs = F.col("instruction_ids"), F.col("kwargs")
-    usable = F.when(kwargs.isNull(), F.size(ids)).otherwise(F.least(F.size(ids), F.size(kwargs)))
+    ids = F.col("instruction_ids")
+    kwargs = F.coalesce("kwargs", F.array().cast(f"array<{KWARGS}>"))
+    usable = F.when(F.col("kwargs").isNull(), F.size(ids)).otherwise(
+        F.least(F.size(ids), F.size("kwargs"))
+    )
     pairs = F.slice(F.arrays_zip(ids.alias("id"), kwargs.alias("kw")), F.lit(1), usable)
     return prompts.select(*keys, "response", F.posexplode_outer(pairs).alias("slot", "_p")).select(
         *keys,

@@ -108,9 +108,8 @@ def _correlation(x: str, y: str) -> Column:
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation; 0 without rows or without variance."""
-    return df.select(F.col(x).cast("double"), F.col(y).cast("double")).agg(
-        _correlation(x, y).alias("pearson")
-    )
+    pair = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return pair.agg(_correlation("_x", "_y").alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
