@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tallyloom.sources.workspace import pin
 
 CHUNK = 1 << 16
+# Chunk sums of one group are accumulated in one task; this many are no burden.
+MOST_CHUNKS = 1 << 20
 
 
 def whole(number: Column, width: int) -> Column:
@@ -84,21 +86,31 @@ def totals_by_key(
     groups: Sequence[str] = (),
     width: int = CHUNK,
 ) -> DataFrame:
-    """``running_totals`` in the order of a unique integer key."""
+    """``running_totals`` in the order of a unique integer key.
+
+    Chunks are equal key ranges. Keys with so wide gaps that the chunk sums would not
+    fit one task are sorted into ranges instead.
+    """
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if ends["low"] is not None and (ends["high"] - ends["low"]) // width > MOST_CHUNKS:
+        return totals_by_sort(df, values, [F.col(key)], groups)
     return running_totals(df, values, key_chunk(key, width), [F.col(key)], groups)
 
 
 def totals_by_sort(
-    df: DataFrame, values: Mapping[str, Column], order: Sequence[Column]
+    df: DataFrame,
+    values: Mapping[str, Column],
+    order: Sequence[Column],
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """``running_totals`` in any order; ``order`` must end in a unique column.
 
     Range partitions are the chunks. They are pinned, because sampling the ranges
     again could place a row differently.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    pinned = pin(ranged)
-    return running_totals(pinned, values, F.col("_range"), order).drop("_range")
+    whole_order = [*[F.col(g) for g in groups], *order]
+    ranged = df.repartitionByRange(*whole_order).withColumn("_range", F.spark_partition_id())
+    return running_totals(pin(ranged), values, F.col("_range"), order, groups).drop("_range")
 
 
 def carry_forward(

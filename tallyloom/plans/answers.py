@@ -10,7 +10,7 @@ from tallyloom.functions import tokens as K
 from tallyloom.operators import scoring as S
 from tallyloom.operators.ordered import first_per_group
 from tallyloom.plans.chat import TRIM
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import query, table, texts
 from tallyloom.plans.scoring import rounded
 
 
@@ -215,7 +215,7 @@ def norm_sql(s):
     f"SELECT doc_id, {norm_sql('text')} AS normal FROM documents",
 )
 def qa_normalised(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", T.qa_normalised(F.col("text")).alias("normal"))
 
 
@@ -224,7 +224,7 @@ def qa_normalised(spark, sf_dir):
     f"SELECT doc_id, trim(regexp_replace(regexp_replace(trim(lower(text), {TRIM}), '\\s+', ' ', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'), {TRIM}) AS normal FROM documents",
 )
 def exam_normalised(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", T.exam_normalised(F.col("text")).alias("normal"))
 
 

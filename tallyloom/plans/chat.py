@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import chat as C
 from tallyloom.operators import chat as O
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import query, table, texts
 
 LINES_SQL = """lines AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents)"""
 CHAT_SQL = f"""{LINES_SQL},
@@ -20,7 +20,7 @@ pairs AS (SELECT doc_id, m[spot].content AS output, trim(array_to_string(list_tr
 
 
 def _lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     return docs.select("doc_id", "source", "text", lines.alias("lines"))
 

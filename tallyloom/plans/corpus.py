@@ -11,7 +11,7 @@ from tallyloom.functions.draws import uniform
 from tallyloom.functions.tokens import word_count
 from tallyloom.operators import mixing
 from tallyloom.operators.packing import mix_report
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources import corpora
 from tallyloom.sources.workspace import pin
 
@@ -54,7 +54,7 @@ def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Texts are read and counted once; all later steps use the three pinned numbers.
     """
-    docs = corpora.text_rows(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    docs = corpora.text_rows(texts(spark, sf_dir), "text", ["doc_id", "source"])
     return pin(
         docs.select(
             "doc_id", "source", (word_count(F.col("text")) + 1).cast("long").alias("n_tokens")
@@ -343,5 +343,5 @@ def skip_counters(spark, sf_dir):
     SELECT doc_id, CASE WHEN len(grams) = 0 THEN 0 ELSE round((len(grams) - len(list_distinct(grams))) / len(grams), 9) END::DOUBLE AS repetition FROM g""",
 )
 def repetition_rate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.round(T.repetition(F.col("text"), 10), 9).alias("repetition"))

@@ -14,7 +14,7 @@ from tallyloom.plans.corpus import (
     counted_documents,
     mixed_documents,
 )
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources import shards
 from tallyloom.sources.workspace import new_table_path
 
@@ -32,7 +32,7 @@ def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character ids with end of text, in document order."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("text") != "")
+    docs = texts(spark, sf_dir).filter(F.col("text") != "")
     rows = docs.select(
         "doc_id",
         "source",

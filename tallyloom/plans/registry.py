@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.sources.corpora import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -33,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores when they come in too few splits."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _load() -> None:
     for area in _AREAS:
         importlib.import_module(f"tallyloom.plans.{area}")

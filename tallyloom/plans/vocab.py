@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scorer import mapped_batches, scored
 from tallyloom.functions.tokens import subword_ids
 from tallyloom.operators import vocab as V
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources.workspace import pin
 
 MERGES = 24
 
 
 def _counts(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").filter(F.char_length("text") >= 16)
-    return pin(V.piece_counts(texts))
+    docs = texts(spark, sf_dir).filter(F.char_length("text") >= 16)
+    return pin(V.piece_counts(docs))
 
 
 @query("vocabulary_merges")
@@ -28,7 +28,7 @@ def vocabulary_merges(spark, sf_dir):
 def subword_lengths(spark, sf_dir):
     """Subword count of every document under a vocabulary learned from all of them."""
     tokenizer = V.tokenizer_json(V.learned_merges(_counts(spark, sf_dir), MERGES))
-    docs = table(spark, sf_dir, "documents").filter(F.col("text") != "")
+    docs = texts(spark, sf_dir).filter(F.col("text") != "")
     return docs.select("doc_id", F.size(subword_ids(F.col("text"), tokenizer)).alias("n_tokens"))
 
 

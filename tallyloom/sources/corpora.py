@@ -55,6 +55,18 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over all cores before heavy work on each row.
+
+    Fewer scan splits than cores means little data in few files, which one shuffle on
+    ``key`` evens out. A scan with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def text_rows(df: DataFrame, field: str, keep: Sequence[str] = ()) -> DataFrame:
     """One text field (string or bytes) as ``text``, without null and empty rows."""
     require_columns(df, [field, *keep])

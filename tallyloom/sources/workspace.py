@@ -1,7 +1,7 @@
 """Where lineage is cut and intermediate tables are written.
 
-A cluster names its shared folder in ``spark.checkpoint.dir``. A private folder
-is made only for a local master that has none, as in the tests.
+A cluster names its shared folder in ``spark.checkpoint.dir``. A private folder is made
+only for a local master that has none, as in the tests.
 """
 
 from __future__ import annotations
@@ -11,29 +11,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-    return context.getCheckpointDir()
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive a lost executor and are never recomputed."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    app = context.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="tallyloom-")
+    return _local_dirs[app]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them from there.
+
+    They are computed once, survive a lost executor, and later steps read only the
+    columns they need; the optimizer sees the real size of the table.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

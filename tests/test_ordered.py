@@ -48,3 +48,14 @@ def test_trailing_mean_across_chunks(spark):
             p = r["p"]
             want = values[p] if p < 4 else sum(values[p - 4 : p + 1]) / 5
             assert abs(r["m"] - want) < 1e-12
+
+
+def test_keys_with_wide_gaps_are_sorted_into_ranges(spark):
+    rows = [((i * 7919 % 101) << 52, "hot" if i % 3 else "cold", i % 5) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "k long, g string, v long").repartition(4)
+    got = O.totals_by_key(df, {"before": F.col("v")}, "k", ["g"]).collect()
+    seen, expected = {}, {}
+    for k, g, v in sorted(rows):
+        expected[k] = seen.get(g, 0)
+        seen[g] = expected[k] + v
+    assert {r["k"]: r["before"] for r in got} == expected
