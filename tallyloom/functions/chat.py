@@ -7,6 +7,9 @@ A conversation is ``array<struct<role, content>>``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,10 +196,9 @@ def adapter_for(name: str) -> Callable[[], Column]:
 def adapted(name: Column) -> Column:
     """Example of a row by the name of its data set."""
     chosen = adapt_any()
-    for key, adapter in reversed(ADAPTERS):
-        chosen = F.when(
-            F.contains(F.lower(name), F.lit(key.lower())), adapter()
-        ).otherwise(chosen)
+    for adapter, entries in groupby(reversed(ADAPTERS), key=lambda entry: entry[1]):
+        named = [F.contains(F.lower(name), F.lit(key.lower())) for key, _ in entries]
+        chosen = F.when(reduce(or_, named), adapter()).otherwise(chosen)
     return chosen
 
 

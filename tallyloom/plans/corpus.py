@@ -13,7 +13,7 @@ from tallyloom.operators import mixing
 from tallyloom.operators.packing import mix_report
 from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources import corpora
-from tallyloom.sources.workspace import pin
+from tallyloom.sources.workspace import new_table_path, pin
 
 # The twenty sources of the driver table, weighted 1..5 in turn.
 SHARES = [mixing.SourceShare(f"src{i}", i % 5 + 1.0) for i in range(20)]
@@ -201,6 +201,35 @@ def concat_sources(spark, sf_dir):
     )
 
 
+@query(
+    "all_splits",
+    "SELECT event_id, event_type FROM events",
+)
+def all_splits(spark, sf_dir):
+    """A benchmark that comes in parts of its own instead of a test split."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    kinds = ("click", "error", "purchase", "signup", "view")
+    return corpora.all_splits_or_test({k: events.filter(F.col("event_type") == k) for k in kinds})
+
+
+@query(
+    "manifest_scan",
+    "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text <> ''",
+)
+def manifest_scan(spark, sf_dir):
+    """Documents stored as JSON lines in three folders that a list file names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folders = [new_table_path(spark, "jsonl") for _ in range(3)]
+    for i, folder in enumerate(folders):
+        docs.filter(F.col("doc_id") % 3 == i).write.json(folder)
+    listing = new_table_path(spark, "listing")
+    lines = [(line,) for folder in folders for line in (f" {folder} ", "")]
+    spark.createDataFrame(lines, "value string").write.text(listing)
+    rows = corpora.read_manifest(spark, listing, "doc_id long, text string")
+    found = corpora.text_rows(rows, "text", ["doc_id"])
+    return found.select("doc_id", F.char_length("text").alias("n_chars"))
+
+
 @query(
     "quota_mix",
     f"""WITH {MIX_SQL} SELECT doc_id, source, n_tokens, position, before,

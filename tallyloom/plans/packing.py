@@ -238,17 +238,37 @@ def packed_chat_turns(spark, sf_dir):
     return placed.join(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"])
 
 
-@query(
-    "chat_shards",
-    f"""WITH {CHAT_SQL},
+CHAT_SHARDS_SQL = f"""WITH {CHAT_SQL},
     spoken AS (SELECT before + 12 + length(role) + 1 AS b, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS n FROM placed),
     pieces AS (SELECT conv_id, before, n_tokens, unnest(range(before // 5000, (before + n_tokens - 1) // 5000 + 1)) AS shard_id FROM placed),
     asst AS (SELECT b, n, unnest(range(b // 5000, (b + n - 1) // 5000 + 1)) AS shard_id FROM spoken WHERE n > 0)
     SELECT shard_id, tokens, turns, coalesce(assistant_tokens, 0) AS assistant_tokens FROM
       (SELECT shard_id, sum(least(before + n_tokens, (shard_id + 1) * 5000) - greatest(before, shard_id * 5000))::BIGINT AS tokens, count(*) AS turns FROM pieces GROUP BY 1)
-      LEFT JOIN (SELECT shard_id, sum(least(b + n, (shard_id + 1) * 5000) - greatest(b, shard_id * 5000))::BIGINT AS assistant_tokens FROM asst GROUP BY 1) USING (shard_id)""",
-)
+      LEFT JOIN (SELECT shard_id, sum(least(b + n, (shard_id + 1) * 5000) - greatest(b, shard_id * 5000))::BIGINT AS assistant_tokens FROM asst GROUP BY 1) USING (shard_id)"""
+
+
+@query("chat_shards", CHAT_SHARDS_SQL)
 def chat_shards(spark, sf_dir):
+    return shard_totals(chat_pieces(spark, sf_dir))
+
+
+@query("stored_chat_shards", CHAT_SHARDS_SQL)
+def stored_chat_shards(spark, sf_dir):
+    """Ids and loss masks written shard by shard and read back."""
+    path = new_table_path(spark, "chat-shards")
+    shards.write_shards(chat_pieces(spark, sf_dir), path, order="piece_start")
+    return shard_totals(shards.read_shards(spark, path))
+
+
+def shard_totals(pieces):
+    return pieces.groupBy("shard_id").agg(
+        F.sum(F.size("ids")).alias("tokens"),
+        F.count("*").alias("turns"),
+        F.sum(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("assistant_tokens"),
+    )
+
+
+def chat_pieces(spark, sf_dir):
     placed = packed_chat_turns(spark, sf_dir)
     pieces = K.chat_turn_pieces(F.col("role"), F.col("text"))
     closing_id = F.when(F.col("closing") == 1, F.array(F.lit(K.EOS_ID))).otherwise(
@@ -262,9 +282,4 @@ def chat_shards(spark, sf_dir):
         F.concat(K.piece_ids(F.col("_pieces")), closing_id).alias("ids"),
         F.concat(K.piece_mask(F.col("_pieces")), closing_mask).alias("mask"),
     )
-    cut = packing.split_by_size(rows, 5000, "shard_id", arrays=("ids", "mask"))
-    return cut.groupBy("shard_id").agg(
-        F.sum(F.size("ids")).alias("tokens"),
-        F.count("*").alias("turns"),
-        F.sum(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("assistant_tokens"),
-    )
+    return packing.split_by_size(rows, 5000, "shard_id", arrays=("ids", "mask"))

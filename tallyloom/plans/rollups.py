@@ -77,6 +77,23 @@ def parsed_summaries(spark, sf_dir):
     return parsed.withColumn("tasks", F.size("tasks").cast("long"))
 
 
+@query(
+    "summary_file_scan",
+    f"""WITH {BASE_SQL} SELECT 'runs/' || user_id || '.pt' AS checkpoint, count(*) AS tasks, count(*) FILTER (status = 'ok') AS ok_tasks FROM base WHERE {READABLE} GROUP BY user_id""",
+)
+def summary_file_scan(spark, sf_dir):
+    """Summaries stored as one file each and found again anywhere under the folder."""
+    files = summary_files(spark, sf_dir).withColumn("model", F.split_part("path", F.lit("/"), F.lit(2)))
+    folder = new_table_path(spark, "summaries")
+    files.select("model", "content").repartition("model").write.partitionBy("model").text(folder)
+    parsed = R.parsed_summaries(records.read_summary_files(spark, folder, "*.txt"))
+    return parsed.select(
+        "checkpoint",
+        F.size("tasks").cast("long").alias("tasks"),
+        F.size(F.filter("tasks", lambda t: t["status"] == "ok")).cast("long").alias("ok_tasks"),
+    )
+
+
 FLAT_SQL = f"""{BASE_SQL}, flat AS (
   SELECT 'out/' || user_id AS path, task, 'Overall' AS subtask, 'status' AS metric, NULL::DOUBLE AS value, status AS text FROM base WHERE status <> 'ok' AND {READABLE}
   UNION ALL SELECT 'out/' || user_id, task, 'Overall', unnest(['accuracy', 'exact_match']), unnest([hi, lo]), NULL FROM base WHERE status = 'ok' AND {READABLE}

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tallyloom.operators.packing import shard_source_counts
 
 
-def write_shards(packed: DataFrame, path: str) -> None:
+def write_shards(packed: DataFrame, path: str, order: str = "before", parts: int = 8) -> None:
     """One folder per shard; the job commit makes all of them visible together.
 
-    Rows are spread by shard and row, so that no task writes a whole large shard alone.
+    Whatever columns the rows have are kept: document ids, token ids, loss masks. A
+    shard is spread over several tasks, so that none writes a whole large shard alone.
     """
-    packed.withColumn("_part", F.pmod(F.xxhash64("before"), F.lit(8))).repartition(
-        "shard_id", "_part"
-    ).drop("_part").sortWithinPartitions("shard_id", "before").write.partitionBy(
+    part = F.pmod(F.xxhash64(order), F.lit(parts))
+    packed.repartition("shard_id", part).sortWithinPartitions("shard_id", order).write.partitionBy(
         "shard_id"
     ).parquet(path)
 
