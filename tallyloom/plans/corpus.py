@@ -333,12 +333,12 @@ def worker_stream(spark, sf_dir):
 
 @query(
     "seeded_shuffle",
-    f"""SELECT doc_id, round({UNIFORM_SQL.format("'42:' || doc_id")}, 12) AS order_key FROM documents""",
+    f"""SELECT doc_id, {UNIFORM_SQL.format("'42:' || doc_id")} AS order_key FROM documents""",
 )
 def seeded_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return mixing.shuffled(docs, seed=42, key="doc_id").withColumn(
-        "order_key", F.round(uniform(42, F.col("doc_id")), 12)
+        "order_key", uniform(42, F.col("doc_id"))
     )
 
 

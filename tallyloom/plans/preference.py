@@ -94,11 +94,11 @@ def math_problems(spark, sf_dir):
 @query(
     "verifier_positives",
     f"""SELECT o_orderkey AS problem_id, 1 AS label, 'Question: How much is order ' || o_orderkey || '?' || chr(10) || chr(10) || 'Answer: ' || floor(o_totalprice)::BIGINT AS text,
-      round({UNIFORM_SQL.format("'3:' || o_orderkey || ':0'")}, 12) AS order_key FROM orders""",
+      {UNIFORM_SQL.format("'3:' || o_orderkey || ':0'")} AS order_key FROM orders""",
 )
 def verifier_positives(spark, sf_dir):
     rows = O.verifier_examples(math_problems(spark, sf_dir), seed=3).filter(F.col("label") == 1)
-    return rows.select("problem_id", "label", "text", F.round("order_key", 12).alias("order_key"))
+    return rows.select("problem_id", "label", "text", "order_key")
 
 
 def _hash_sql(label):

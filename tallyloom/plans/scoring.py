@@ -170,7 +170,7 @@ def best_choice_by_length(spark, sf_dir):
 @query(
     "completion_scores",
     """WITH c AS (SELECT p_partkey AS item, unnest(range(4)) AS choice FROM part),
-    t AS (SELECT l_partkey AS item, l_linenumber % 5 AS choice, sum(-l_extendedprice / 30000) AS s, count(*) AS n FROM lineitem GROUP BY ALL)
+    t AS (SELECT l_partkey AS item, l_linenumber % 5 AS choice, sum(-l_extendedprice * 1.4142135623730951::DOUBLE / 10000) AS s, count(*) AS n FROM lineitem GROUP BY ALL)
     SELECT item, choice, round(coalesce(s, 0), 9) AS score, round(coalesce(s, 0) / greatest(coalesce(n, 1), 1), 9) AS score_per_token
     FROM c LEFT JOIN t USING (item, choice)""",
 )
@@ -182,7 +182,7 @@ def completion_scores(spark, sf_dir):
     tokens = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("item"),
         (F.col("l_linenumber") % 5).cast("long").alias("choice"),
-        (-F.col("l_extendedprice") / 30000).alias("log_prob"),
+        (-F.col("l_extendedprice") * 1.4142135623730951 / 10000).alias("log_prob"),
     )
     plain = S.completion_scores(tokens, choices, ["item", "choice"])
     scaled = S.completion_scores(tokens, plain, ["item", "choice"], normalise=True)
@@ -276,7 +276,7 @@ def first_rows_per_group(spark, sf_dir):
 
 @query(
     "glue_style_score",
-    """WITH m AS (SELECT user_id AS model, ['cola','mrpc','qqp','mnli','stsb'][(event_id % 5 + 1)::INT] AS task, avg(value) AS a, avg(value * 0.5) AS b FROM events GROUP BY ALL),
+    """WITH m AS (SELECT user_id AS model, ['cola','mrpc','qqp','mnli','stsb'][(event_id % 5 + 1)::INT] AS task, avg(value * 1.4142135623730951::DOUBLE) AS a, avg(value * 0.5) AS b FROM events GROUP BY ALL),
     p AS (SELECT model, task, CASE task WHEN 'cola' THEN a ELSE (a + b) / 2 END AS v FROM m)
     SELECT model, round(avg(v), 6) AS score, count(*) AS tasks FROM p GROUP BY model""",
 )
@@ -290,7 +290,7 @@ def glue_style_score(spark, sf_dir):
             F.col("user_id").alias("model"),
             F.element_at(tasks, (F.col("event_id") % 5 + 1).cast("int")).alias("task"),
         )
-        .agg(F.avg("value").alias("a"), F.avg(F.col("value") * 0.5).alias("b"))
+        .agg(F.avg(F.col("value") * 1.4142135623730951).alias("a"), F.avg(F.col("value") * 0.5).alias("b"))
     )
     first = {"cola": "matthews_corrcoef", "mrpc": "accuracy", "qqp": "accuracy",
              "mnli": "accuracy_matched", "stsb": "pearson"}

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from tallyloom.operators.packing import shard_source_counts
 
 
-def write_shards(packed: DataFrame, path: str, order: str = "before", parts: int = 8) -> None:
+def write_shards(packed: DataFrame, path: str, order: str = "before") -> None:
     """One folder per shard; the job commit makes all of them visible together.
 
     Whatever columns the rows have are kept: document ids, token ids, loss masks. A
-    shard is spread over several tasks, so that none writes a whole large shard alone.
+    task writes whole shards, which the shard size bounds.
     """
-    part = F.pmod(F.xxhash64(order), F.lit(parts))
-    packed.repartition("shard_id", part).sortWithinPartitions("shard_id", order).write.partitionBy(
+    packed.repartition("shard_id").sortWithinPartitions("shard_id", order).write.partitionBy(
         "shard_id"
     ).parquet(path)
 
