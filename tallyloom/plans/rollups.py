@@ -85,7 +85,7 @@ def summary_file_scan(spark, sf_dir):
     """Summaries stored as one file each and found again anywhere under the folder."""
     files = summary_files(spark, sf_dir).withColumn("model", F.split_part("path", F.lit("/"), F.lit(2)))
     folder = new_table_path(spark, "summaries")
-    files.select("model", "content").repartition("model").write.partitionBy("model").text(folder)
+    files.select("model", "content").repartition(8, "model").write.partitionBy("model").text(folder)
     parsed = R.parsed_summaries(records.read_summary_files(spark, folder, "*.txt"))
     return parsed.select(
         "checkpoint",

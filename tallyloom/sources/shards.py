@@ -12,9 +12,11 @@ def write_shards(packed: DataFrame, path: str, order: str = "before") -> None:
     """One folder per shard; the job commit makes all of them visible together.
 
     Whatever columns the rows have are kept: document ids, token ids, loss masks. A
-    task writes whole shards, which the shard size bounds.
+    task writes whole shards, which the shard size bounds. The number of tasks is fixed,
+    because few small tasks would open one file after the other.
     """
-    packed.repartition("shard_id").sortWithinPartitions("shard_id", order).write.partitionBy(
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed.repartition(tasks, "shard_id").sortWithinPartitions("shard_id", order).write.partitionBy(
         "shard_id"
     ).parquet(path)
 
