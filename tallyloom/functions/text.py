@@ -193,14 +193,16 @@ def composed(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFC")
 
 
-@F.pandas_udf(StringType())
-def decoded_ignoring_errors(raw: pd.Series) -> pd.Series:
-    """UTF-8 text of a binary column without its broken bytes."""
-    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
 def decoded(raw: Column) -> Column:
-    """UTF-8 decoding in the JVM; only broken values go through Python."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(
-        decoded_ignoring_errors(raw)
-    )
+    """UTF-8 text of a binary column without its broken bytes.
+
+    Broken bytes become the replacement character, which is then removed. Real
+    replacement characters are escaped before and restored after.
+    """
+    mark, gone = F.lit("\uf8ff"), F.lit("\ufffd")
+    mark_0, mark_1 = F.lit("\uf8ff0"), F.lit("\uf8ff1")
+    text = raw.cast("string")
+    escaped = F.replace(F.replace(text, mark, mark_0), gone, mark_1)
+    cleaned = F.replace(F.make_valid_utf8(escaped), gone, F.lit(""))
+    restored = F.replace(F.replace(cleaned, mark_1, gone), mark_0, mark)
+    return F.when(F.is_valid_utf8(text), text).otherwise(restored)

@@ -270,7 +270,7 @@ def stage_metrics(results: DataFrame) -> DataFrame:
     return results.filter(F.col("stage").isin(METRIC_STAGES) & F.col("perplexity").isNotNull())
 
 
-def kept_checkpoints(paths: DataFrame, archived: str | None, folder: str = "archive_pre-4090") -> DataFrame:
+def kept_checkpoints(paths: DataFrame, archived: str | None, folder: str = "archive") -> DataFrame:
     """Model files without verifier heads; archived ones are skipped, alone, or included."""
     parts = F.split("path", "/")
     in_archive = F.array_contains(parts, folder)

@@ -278,7 +278,7 @@ def stage_metrics(spark, sf_dir):
     ).csv(path)
 
 
-PATH_SQL = """paths AS (SELECT event_id, user_id AS run, 'runs/' || CASE WHEN user_id % 6 = 0 THEN 'archive_pre-4090/' ELSE '' END || CASE WHEN event_id % 10 = 0 THEN 'Verifier-x/' ELSE '' END || user_id || '/g-'
+PATH_SQL = """paths AS (SELECT event_id, user_id AS run, 'runs/' || CASE WHEN user_id % 6 = 0 THEN 'archive/' ELSE '' END || CASE WHEN event_id % 10 = 0 THEN 'Verifier-x/' ELSE '' END || user_id || '/g-'
   || CASE event_type WHEN 'view' THEN 'pretrain' WHEN 'click' THEN 'sft' ELSE 'dpo' END || CASE event_id % 3 WHEN 0 THEN '_final' WHEN 1 THEN '_best' ELSE '_step' || event_id END || CASE WHEN event_type = 'signup' THEN '.txt' ELSE '.pt' END AS path FROM events)"""
 
 
@@ -296,7 +296,7 @@ def checkpoint_paths(spark, sf_dir):
     )
     path = F.concat(
         F.lit("runs/"),
-        F.when(F.col("user_id") % 6 == 0, "archive_pre-4090/").otherwise(""),
+        F.when(F.col("user_id") % 6 == 0, "archive/").otherwise(""),
         F.when(F.col("event_id") % 10 == 0, "Verifier-x/").otherwise(""),
         user, F.lit("/g-"), stage, kind,
         F.when(F.col("event_type") == "signup", ".txt").otherwise(".pt"),
@@ -308,7 +308,7 @@ def checkpoint_paths(spark, sf_dir):
 
 @query(
     "kept_checkpoints",
-    f"WITH {PATH_SQL} SELECT event_id, run, path FROM paths WHERE ends_with(path, '.pt') AND NOT contains(lower(path), 'verifier') AND NOT contains(path, 'archive_pre-4090')",
+    f"WITH {PATH_SQL} SELECT event_id, run, path FROM paths WHERE ends_with(path, '.pt') AND NOT contains(lower(path), 'verifier') AND NOT contains(path, 'archive')",
 )
 def kept_checkpoints(spark, sf_dir):
     return R.kept_checkpoints(checkpoint_paths(spark, sf_dir), "skip")

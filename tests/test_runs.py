@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import decoded
 from tallyloom.operators import rollup as R
 from tallyloom.operators import runlogs as G
 from tallyloom.operators import vocab as V
@@ -168,3 +170,18 @@ def test_metrics_keep_up_with_appended_records(spark, tmp_path):
     jobs.follow_metrics(spark, landing, out)
     got = {r["phase"]: (r["step"], r["loss"], r["records"]) for r in jobs.followed_metrics(spark, out).collect()}
     assert got == {"train": (2, 2.0, 2), "eval": (1, 5.0, 1)}
+
+
+def test_broken_bytes_are_dropped(spark):
+    rng = random.Random(6)
+    good = "aé\u20ac\U0001f600\ufffd\uf8ff01".encode()
+    rows = [(0, bytearray(good)), (1, bytearray(b"")), (2, None)]
+    for i in range(3, 200):
+        raw = bytearray(good * 2)
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.choice([rng.randrange(256), 0xE2, 0xF0, 0x80, 0xC3])
+        rows.append((i, raw[: rng.randint(1, len(raw))]))
+    df = spark.createDataFrame(rows, "i int, raw binary")
+    got = {r["i"]: r["t"] for r in df.select("i", decoded(F.col("raw")).alias("t")).collect()}
+    for i, raw in rows:
+        assert got[i] == (None if raw is None else bytes(raw).decode("utf-8", "ignore")), raw
