@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.sources.workspace import pin
 
 CHUNK = 1 << 16
+NARROWEST_CHUNK = 1 << 8
 # Chunk sums of one group are accumulated in one task; this many are no burden.
 MOST_CHUNKS = 1 << 20
 
@@ -84,15 +85,20 @@ def totals_by_key(
     values: Mapping[str, Column],
     key: str,
     groups: Sequence[str] = (),
-    width: int = CHUNK,
+    width: int | None = None,
 ) -> DataFrame:
     """``running_totals`` in the order of a unique integer key.
 
-    Chunks are equal key ranges. Keys with so wide gaps that the chunk sums would not
-    fit one task are sorted into ranges instead.
+    Chunks are equal key ranges, by default narrow enough to occupy every core. Keys
+    with so wide gaps that the chunk sums would not fit one task are sorted into ranges
+    instead.
     """
     ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if ends["low"] is not None and (ends["high"] - ends["low"]) // width > MOST_CHUNKS:
+    reach = 0 if ends["low"] is None else ends["high"] - ends["low"]
+    if width is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        width = min(CHUNK, max(NARROWEST_CHUNK, reach // (4 * cores)))
+    if reach // width > MOST_CHUNKS:
         return totals_by_sort(df, values, [F.col(key)], groups)
     return running_totals(df, values, key_chunk(key, width), [F.col(key)], groups)
 

@@ -113,9 +113,7 @@ def _aligned(
     opened = filled.join(starts, "before", "left").withColumn(
         "_starts", F.coalesce("_starts", F.lit(0))
     )
-    numbered = totals_by_key(
-        opened, {"_opened": F.col("_starts")}, "position", width=rows_per_chunk
-    )
+    numbered = totals_by_key(opened, {"_opened": F.col("_starts")}, "position")
     shard_id = F.lit(after.shards - 1) + F.col("_opened") + F.col("_starts")
     return numbered.select(*docs.columns, shard_id.cast("long").alias("shard_id")), reach
 

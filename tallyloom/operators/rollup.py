@@ -233,6 +233,13 @@ def chosen_tasks(known: Sequence[str], wanted: Sequence[str] | None, skip: Seque
     return [t for t in known if (wanted is None or t in wanted) and t not in set(skip)]
 
 
+def chosen_results(
+    results: DataFrame, known: Sequence[str], wanted: Sequence[str] | None, skip: Sequence[str]
+) -> DataFrame:
+    """Rows of the chosen tasks."""
+    return results.filter(F.col("task").isin(chosen_tasks(known, wanted, skip)))
+
+
 def stage_gains(results: DataFrame, metrics: Sequence[str], model: str = "model") -> DataFrame:
     """Change of each metric against the previous stage that exists.
 

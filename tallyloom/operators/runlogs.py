@@ -57,11 +57,11 @@ def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     )
 
 
-def smoothed(points: DataFrame, window: int = 10, width: int = CHUNK) -> DataFrame:
+def smoothed(points: DataFrame, window: int = 10) -> DataFrame:
     """Trailing mean of the losses in step order; the first ``window - 1`` stay raw."""
     groups = ["file", "stage"]
-    placed = totals_by_key(pin(points), {"place": F.lit(1)}, "step", groups, width)
-    return trailing_mean(placed, "loss", "place", groups, window, "smoothed", width).drop("place")
+    placed = totals_by_key(pin(points), {"place": F.lit(1)}, "step", groups)
+    return trailing_mean(placed, "loss", "place", groups, window, "smoothed").drop("place")
 
 
 def stage_summary(points: DataFrame) -> DataFrame:

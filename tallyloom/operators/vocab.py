@@ -109,7 +109,7 @@ def learned_merges(
     replays earlier rounds. Each round counts all pairs on the cluster and brings back
     the few best ones. Equal counts go to the smaller ids.
     """
-    spread = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counts.sparkSession.sparkContext.defaultParallelism
     words = pin(
         counts.select("piece", _byte_symbols(F.col("piece")).alias("s"), "n")
         .filter(F.char_length("s") > 1)

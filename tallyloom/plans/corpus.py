@@ -212,6 +212,18 @@ def all_splits(spark, sf_dir):
     return corpora.all_splits_or_test({k: events.filter(F.col("event_type") == k) for k in kinds})
 
 
+@query(
+    "resolved_split",
+    "SELECT event_id, user_id FROM events WHERE event_type = 'signup'",
+)
+def resolved_split(spark, sf_dir):
+    """The split a set calls by another name; set names ignore case."""
+    aliases = {"org/pairs": {"train": "click", "eval": "signup", "test": "signup"}}
+    split = corpora.resolve_split("Org/Pairs", "test", aliases)
+    events = table(spark, sf_dir, "events").filter(F.col("event_type") == split)
+    return events.select("event_id", "user_id")
+
+
 @query(
     "manifest_scan",
     "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text <> ''",

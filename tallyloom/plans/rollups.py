@@ -206,6 +206,17 @@ def merged_summaries(spark, sf_dir):
     return R.merged_summary(tasks, ["view", "click", "error"])
 
 
+@query(
+    "chosen_results",
+    "SELECT event_id, event_type AS task, value FROM events WHERE event_type IN ('click', 'view')",
+)
+def chosen_results(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("task"), "value"
+    )
+    return R.chosen_results(rows, TASKS, ["view", "error", "click"], skip=["error"])
+
+
 @query(
     "merged_elapsed",
     "SELECT 'runs/' || user_id AS checkpoint, round(sum(value), 4) AS elapsed_s FROM events GROUP BY user_id",
