@@ -21,7 +21,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyloom.llm.pretokens import Pretokens, byte_letters
 
@@ -202,17 +201,14 @@ def tree_pretokens(path: str) -> Pretokens:
                 ((value.find(s), -len(s), s) for s in merges.special if s in value), default=None
             )
             head, token = (value, "") if found is None else (value[: found[0]], found[2])
-            for _, part, _ in plain.encode(pa.array([head])):
-                ids.extend(part.tolist())
+            ids.extend(coder.one(head).tolist())
             if token:
                 ids.append(merges.special[token])
             value = value[len(head) + len(token) :]
         return ids
 
-    plain = Pretokens(True, words, text, lambda value: False)
-    whole = Pretokens(True, words, text, lambda value: any(s in value for s in merges.special))
-    whole.known = plain.known
-    return whole
+    coder = Pretokens(True, words, text, lambda value: any(s in value for s in merges.special))
+    return coder
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,23 +252,25 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> Data
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document the number of ids and digests of ids and decoded text."""
+    """Per document the number of ids and digests of ids and decoded text, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, merges = tree_pretokens(vocabulary), merge_table(vocabulary)
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            ends = (ends - ends[0]).tolist()
-            names = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
-            counts = pa.array(np.diff(ends), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), counts, pa.array(names), batch.column(2)],
-                names=["doc_id", "n_tokens", "ids_sha256", "text"],
-            )
+            for start, ids, counts in coder.encode(batch.column(1)):
+                flat, ends = ids.astype("<u4"), np.concatenate([[0], np.cumsum(counts)]).tolist()
+                texts = decode(merges, flat, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, len(counts)),
+                        pa.array(counts, pa.int64()),
+                        pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]),
+                        pa.array([hashlib.sha256(text.encode()).hexdigest() for text in texts]),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
-    decoded = bpe_decode(bpe_encode(docs, vocabulary), vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, text string")
-    return rows.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

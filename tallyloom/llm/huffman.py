@@ -149,8 +149,8 @@ def _count(width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                got = np.bincount(np.frombuffer(b"".join(batch.column(0)[at : at + 1024].to_pylist()), width))
+            for at in range(0, batch.num_rows, 256):
+                got = np.bincount(np.frombuffer(b"".join(batch.column(0)[at : at + 256].to_pylist()), width))
                 if len(got) > len(total):
                     got, total = total, got
                 total[: len(got)] += got
@@ -164,8 +164,8 @@ def _code(ids: np.ndarray, bits: np.ndarray, limit: int, bounds: list, width: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(ids, bits, limit)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 raw = part.column(1).to_pylist()
                 flat = np.frombuffer(b"".join(raw), width)
                 counts = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(width).itemsize

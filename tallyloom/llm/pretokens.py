@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-MEMORY = 400_000
-BLOCK = 4 << 20
+MEMORY = 200_000
+BLOCK = 2 << 20
 
 # Letters and numbers that Unicode 16.0 added, beyond this Python's tables.
 NEW_LETTERS = (
@@ -164,6 +164,11 @@ class Pretokens:
         at = running[np.searchsorted(cuts, offsets)]
         return ids, np.diff(at)
 
+    def one(self, text: str) -> np.ndarray:
+        """The ids of a text without special tokens."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self._block(data, np.array([0, len(data)]))[0]
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Position of the first text, the ids and the id counts of each block of texts."""
         texts = texts.cast(pa.large_string()).fill_null("")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, huffman, rendezvous, vector_packing
+from tallyloom.llm import bpe, huffman, jaccard, media, rendezvous, vector_packing
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -35,12 +35,24 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.packed_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), end=1)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class and its number of links."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_text_media(table(spark, sf_dir, "documents"))
+
+
 def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op10_segment_tree_bpe)
+    for f in (
+        op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
+        op9_media_columns, op10_segment_tree_bpe,
+    )
 }
 SQL: dict[str, str] = {}
