@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from tallyloom.sources.workspace import pin
 
@@ -163,6 +164,11 @@ def npy_bytes(values: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def npy_tile(pixels: np.ndarray, side: int) -> bytes:
+    means = area_resize(pixels, side, side)
+    return npy_bytes(np.clip(np.rint(np.round(means, 6)), 0, 255).astype(np.uint8))
+
+
 def media_columns(media: DataFrame, data: str = "media", tile: int = 32) -> DataFrame:
     """Adds ``height``, ``width``, ``tile`` (NPY, ``tile`` x ``tile``) and ``feature`` to all columns."""
     names = ["height", "width", "tile", "feature"]
@@ -180,8 +186,7 @@ def media_columns(media: DataFrame, data: str = "media", tile: int = 32) -> Data
                     pixels = decode_media(value.as_py())
                     row = [None] * 4
                     if pixels is not None:
-                        small = np.clip(np.rint(area_resize(pixels, tile, tile)), 0, 255).astype(np.uint8)
-                        row = [pixels.shape[0], pixels.shape[1], npy_bytes(small), difference_hash(pixels)]
+                        row = [pixels.shape[0], pixels.shape[1], npy_tile(pixels, tile), difference_hash(pixels)]
                     for col, item in zip(cols, row, strict=True):
                         col.append(item)
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -189,8 +194,9 @@ def media_columns(media: DataFrame, data: str = "media", tile: int = 32) -> Data
                     [*part.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*part.schema.names, *names]
                 )
 
-    schema = media.schema.add("height", "int").add("width", "int").add("tile", "binary").add("feature", "string")
-    return media.mapInArrow(run, schema)
+    kinds = (IntegerType(), IntegerType(), BinaryType(), StringType())
+    added = [StructField(n, k) for n, k in zip(names, kinds, strict=True)]
+    return media.mapInArrow(run, StructType([*media.schema.fields, *added]))
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,32 +221,33 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def stored_text_media(docs: DataFrame) -> DataFrame:
+def stored_text_media(docs: DataFrame, tile: int = 32) -> DataFrame:
     """Store the texts' images as a table, read it again, and describe what was read."""
-    stored = media_columns(pin(text_media(docs)))
-    names = [f.name for f in stored.schema]
+    stored = pin(text_media(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                got = [decode_media(x.as_py()) for x in part.column(names.index("media"))]
+                media = [x.as_py() for x in part.column(2)]
+                got = [decode_media(x) for x in media]
                 raw = [x.tobytes() for x in got]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(names.index("doc_id")), part.column(names.index("n_bytes")),
-                     pa.array(map(len, raw), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
+                    [part.column(0), part.column(1), pa.array(map(len, raw), pa.int64()),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
                      pa.array([zlib.crc32(x[-64:]) for x in raw], pa.int64()),
-                     part.column(names.index("media")), part.column(names.index("feature")), part.column(names.index("tile"))],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "feature", "tile"],
+                     pa.array(map(len, media), pa.int64()),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in media]),
+                     pa.array([difference_hash(x) for x in got]),
+                     pa.array([npy_tile(x, tile) for x in got], pa.binary())],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+                           "media_bytes", "media_sha256", "feature", "tile"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored.mapInArrow(
         run,
-        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, feature string, tile binary",
-    )
-    return rows.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        "feature", F.sha2("tile", 256).alias("tile_sha256"),
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+        "media_bytes long, media_sha256 string, feature string, tile binary",
     )
+    return rows.withColumn("tile", F.sha2("tile", 256)).withColumnRenamed("tile", "tile_sha256")
