@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, huffman, jaccard, media, rendezvous, vector_packing
+from tallyloom.llm import bitslice, bpe, huffman, jaccard, media, rendezvous, vector_packing
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
 
 
+def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text_media(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
-        op9_media_columns, op10_segment_tree_bpe,
+        op6_bit_sliced_top_k, op9_media_columns, op10_segment_tree_bpe,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_rendezvous_shards": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS body, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k
+            FROM documents
+        ), crc_table AS (
+            SELECT list(list_reduce(
+                range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n
+            ) ORDER BY n) AS t
+            FROM range(256) AS r(n)
+        ), s AS (
+            SELECT doc_id, shard,
+                1.0 / -ln((CAST('0x' || md5(k || ':' || shard)[1:12] AS BIGINT) + 0.5) / 281474976710656.0) AS score
+            FROM d, range(9) AS r(shard)
+        ), p AS (
+            SELECT doc_id,
+                CAST(arg_max(shard, score) FILTER (shard < 8) AS INTEGER) AS shard,
+                CAST(arg_max(shard, score) AS INTEGER) AS grown_shard
+            FROM s GROUP BY doc_id
+        ), c AS (
+            SELECT doc_id, octet_length(encode(body)) + 1 AS size,
+                list_transform(
+                    range(octet_length(encode(body))),
+                    lambda i: CAST('0x' || h[2 * i + 1] || h[2 * i + 2] AS BIGINT)
+                ) AS bytes
+            FROM (SELECT *, string_split(hex(encode(body)), '') AS h FROM d)
+        ), q AS (
+        SELECT doc_id, CAST(size AS BIGINT) AS size,
+            CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT)
+                % greatest(64, (SELECT count(*) FROM documents) // 16384) AS part,
+            xor(4294967295, list_reduce(
+                bytes, lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1]), 4294967295
+            )) AS text_crc32,
+            'key' AS law, shard, grown_shard
+        FROM c JOIN p USING (doc_id), crc_table
+        )
+        SELECT * EXCLUDE (part),
+            row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, size, text_crc32) - 1 AS slot
+        FROM q
+    """,
+    "op6_bit_sliced_top_k": """
+        WITH v AS (
+            SELECT vec_id, len(embedding) AS dim,
+                list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+            FROM v AS a JOIN v AS b ON a.dim = b.dim AND a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0
+        )
+        SELECT query_id, vec_id, score,
+            CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM s
+        QUALIFY rank <= 10
+    """,
+}

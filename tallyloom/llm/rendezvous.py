@@ -18,9 +18,14 @@ RANGE_ROWS = 16_384
 MIN_RANGES = 64
 
 
+def hashed(key: Column, suffix: str) -> Column:
+    """48 bits of a digest that any engine can repeat."""
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(suffix))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def shard_score(key: Column, shard: int, weight: float = 1.0) -> Column:
-    named = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{shard}"))
-    number = F.conv(F.substring(F.md5(named.cast("binary")), 1, 12), 16, 10).cast("double")
+    number = hashed(key, f":{shard}").cast("double")
     return F.lit(float(weight)) / -F.log((number + F.lit(0.5)) / F.lit(float(1 << 48)))
 
 
@@ -42,7 +47,7 @@ def with_places(rows: DataFrame, order: list[str]) -> DataFrame:
     """
     n = rows.count()
     ranges = max(MIN_RANGES, n // RANGE_ROWS)
-    placed = rows.withColumn("_range", F.pmod(F.xxhash64(order[0]), F.lit(ranges)).cast("int"))
+    placed = rows.withColumn("_range", (hashed(F.col(order[0]), "") % ranges).cast("int"))
     within = Window.partitionBy("shard", "_range").orderBy(*order)
     before = Window.partitionBy("shard").orderBy("_range")
     sums = placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
