@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bitslice, bpe, huffman, jaccard, media, rendezvous, vector_packing
+from tallyloom.llm import bitslice, bpe, bwt, huffman, jaccard, media, rendezvous, vector_packing
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
 
 
+def op5_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.removal_digest(table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -56,7 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
-        op6_bit_sliced_top_k, op9_media_columns, op10_segment_tree_bpe,
+        op5_bwt_repeats, op6_bit_sliced_top_k, op9_media_columns, op10_segment_tree_bpe,
     )
 }
 SQL: dict[str, str] = {
