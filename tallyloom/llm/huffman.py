@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.pretokens import library_pretokens, with_end
+from tallyloom.llm.pretokens import forget, library_pretokens, with_end
 from tallyloom.sources.workspace import pin
 
 LANE = 512
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 RANGE_IDS = 1 << 23
 MAX_RANGES = 1 << 14
 
@@ -147,6 +147,7 @@ def _tokenise(path: str, end: int, width: str) -> Callable:
 
 def _count(width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -162,6 +163,7 @@ def _count(width: str) -> Callable:
 
 def _code(ids: np.ndarray, bits: np.ndarray, limit: int, bounds: list, width: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         code = Code(ids, bits, limit)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -264,6 +266,7 @@ def read_token_files(spark: SparkSession, path: str, limit: int = 16) -> DataFra
         total += sums[bucket]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         book = Code(np.array(ids, np.int64), np.array(bits, np.int64), limit)
         for batch in batches:
             for row in range(batch.num_rows):

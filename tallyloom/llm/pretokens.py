@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-MEMORY = 200_000
+MEMORY = 150_000
 BLOCK = 2 << 20
 
 # Letters and numbers that Unicode 16.0 added, beyond this Python's tables.
@@ -238,6 +238,11 @@ def library_pretokens(path: str) -> Pretokens:
     return Pretokens(spaced, words, text, whole)
 
 
+def forget() -> None:
+    """Give back a worker's memory of pretokens, for steps that don't tokenise."""
+    library_pretokens.cache_clear()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with one more at the end of each text."""
     stops = np.cumsum(counts)

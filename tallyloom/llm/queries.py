@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bitslice, bpe, bwt, huffman, jaccard, media, rendezvous, vector_packing
+from tallyloom.llm import bitslice, bpe, bwt, cotrain, crf, huffman, jaccard, media, rendezvous, vector_packing
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -48,6 +48,15 @@ def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("spans", F.size("spans")).withColumnRenamed("spans", "n_spans")
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text_media(table(spark, sf_dir, "documents"))
 
@@ -60,7 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
-        op5_bwt_repeats, op6_bit_sliced_top_k, op9_media_columns, op10_segment_tree_bpe,
+        op5_bwt_repeats, op6_bit_sliced_top_k, op7_crf_toxicity, op8_cotrained_quality,
+        op9_media_columns, op10_segment_tree_bpe,
     )
 }
 SQL: dict[str, str] = {
