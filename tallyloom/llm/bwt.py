@@ -1,7 +1,7 @@
 """Repeated byte strings by merging Burrows-Wheeler transforms of shards.
 
-Every window of ``length`` bytes has an anchor: the gram of ``GRAM`` bytes of smallest hash in
-it. Windows in a row with the same anchor form a run; equal windows have equal anchors, so
+Every window of ``length`` bytes has an anchor: the gram (``GRAM`` bytes, or a third of
+a short window) of smallest hash in it. Windows in a row with the same anchor form a run; equal windows have equal anchors, so
 they meet in the runs of one anchor, wherever they stand. Runs whose anchor occurs once hold
 no repeat. Equal runs fall together into one with a weight.
 
@@ -44,6 +44,10 @@ LIMIT = 4096
 PART = 1 << 20
 
 
+def gram_of(length: int) -> int:
+    return min(GRAM, length // 3)
+
+
 class Prefix:
     """Hashes of any substrings of some bytes, from prefix sums."""
 
@@ -232,7 +236,7 @@ def all_runs(docs: DataFrame, length: int, text: str) -> DataFrame:
                 rows, found = [], []
                 for i, value in enumerate(part.column(2)):
                     data = (value.as_py() or "").encode()
-                    for got in window_runs(data, length, GRAM):
+                    for got in window_runs(data, length, gram_of(length)):
                         rows.append(np.full(len(got[0]), i))
                         found.append(got)
                 if not rows:
@@ -337,8 +341,8 @@ def counted_windows(runs: DataFrame, length: int) -> DataFrame:
 def repeat_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``_spans``: byte ranges (start, end in turn, unordered, may
     overlap) that repeated strings of ``length`` bytes cover; null where there is none."""
-    if length % STEPS or length < GRAM + 2:
-        raise ValueError(f"the length must be a multiple of {STEPS} and above {GRAM + 1}")
+    if length % STEPS or length < 4 * STEPS:
+        raise ValueError(f"the length must be a multiple of {STEPS} and {4 * STEPS} at least")
     keyed = _keyed(docs, key, text)
     runs = pin(all_runs(keyed, length, text))
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -402,3 +406,33 @@ def removal_digest(docs: DataFrame, length: int = 400) -> DataFrame:
     return found.select("doc_id", "text", "_spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """The same rows with repeated bytes cut from ``text`` and ``n_chars`` counted anew.
+
+    A character cut in part goes whole. Texts may become empty; null texts stay null.
+    """
+    found = repeat_spans(docs, length)
+    names = found.columns
+    text, spans = names.index("text"), names.index("_spans")
+    chars = names.index("n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, counts = [], []
+                for value, cut, n in zip(part.column(text), part.column(spans), part.column(chars), strict=True):
+                    value, cut, n = value.as_py(), cut.as_py(), n.as_py()
+                    if cut:
+                        value = without(value.encode(), joined_spans(cut)).decode("utf-8", "ignore")
+                        n = len(value)
+                    texts.append(value)
+                    counts.append(n)
+                columns = list(part.columns)
+                columns[text] = pa.array(texts, part.column(text).type)
+                columns[chars] = pa.array(counts, part.column(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.mapInArrow(run, found.schema).select(*docs.columns)

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.crf import clean_labels, held_out, logistic
 from tallyloom.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, classes
@@ -245,37 +246,48 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality") -> View
     return co_trained(sample, good / (good + bad))
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every document: fold, both views' calibrated scores, the combined score, and whether it
-    is kept (score of one half or more)."""
-    views = trained(docs, labels)
+def scored_rows(docs: DataFrame, views: Views) -> DataFrame:
+    """All columns, with the calibrated scores ``_text``, ``_page`` and the combined ``_score``."""
+    names = docs.columns
+    where = [names.index(n) for n in ("text", "lang", "source", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
         for batch in batches:
-            if views.fallback is not None:
-                same = pa.array(np.full(batch.num_rows, views.fallback))
-                yield pa.RecordBatch.from_arrays([batch.column(0), same, same, same], names=["doc_id", "text_score", "page_score", "score"])
-                continue
-            cols = [c.to_pylist() for c in batch.columns]
-            for at, block in word_blocks(batch.column(1)):
-                end = at + block.texts
-                dense = page_view(block, [t or "" for t in cols[1][at:end]], *(c[at:end] for c in cols[2:5]))
-                doc, slot = text_cells(block)
-                sums = np.bincount(doc, views.text[slot], block.texts)
-                text = 10 * sums / np.maximum(1, np.bincount(doc, minlength=block.texts)) + views.text[-1]
-                page = views.page_odds(dense)
-                scores = [sigmoid(c[0] + c[1] * v) for c, v in zip(views.calibration, (text, page), strict=True)]
-                scores.append(sigmoid(views.combined(text, page)))
+            text_, *rest = (batch.column(i) for i in where)
+            cols = [c.to_pylist() for c in rest]
+            for at, block in word_blocks(text_):
+                part = batch.slice(at, block.texts)
+                scores = [np.full(block.texts, views.fallback)] * 3
+                if views.fallback is None:
+                    texts = ["" if t is None else t for t in part.column(where[0]).to_pylist()]
+                    dense = page_view(block, texts, *(c[at : at + block.texts] for c in cols))
+                    doc, slot = text_cells(block)
+                    sums = np.bincount(doc, views.text[slot], block.texts)
+                    text = 10 * sums / np.maximum(1, np.bincount(doc, minlength=block.texts)) + views.text[-1]
+                    page = views.page_odds(dense)
+                    scores = [sigmoid(c[0] + c[1] * v) for c, v in zip(views.calibration, (text, page), strict=True)]
+                    scores.append(sigmoid(views.combined(text, page)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, block.texts), *map(pa.array, scores)], names=["doc_id", "text_score", "page_score", "score"]
+                    [*part.columns, *(pa.array(s, pa.float64()) for s in scores)], names=[*names, "_text", "_page", "_score"]
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(
-        run, f"doc_id {kind}, text_score double, page_score double, score double"
-    )
+    added = [StructField(n, DoubleType()) for n in ("_text", "_page", "_score")]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document: fold, both views' calibrated scores, the combined score, and whether it
+    is kept (score of one half or more)."""
+    found = scored_rows(docs.select("doc_id", "text", "lang", "source", "n_chars"), trained(docs, labels))
     return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "page_score", "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_text").alias("text_score"),
+        F.col("_page").alias("page_score"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def without_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose combined score is one half or more."""
+    found = scored_rows(docs, trained(docs, labels))
+    return found.where("_score >= 0.5").select(*docs.columns)

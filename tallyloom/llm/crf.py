@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tallyloom.llm.shingles import shingle_set
 from tallyloom.llm.wordblocks import Words, word_blocks
@@ -288,12 +289,14 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str
     return field
 
 
-def scored(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``score`` and ``spans`` (begin and end characters of toxic runs of words)."""
+def scored_rows(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """All columns, with ``_score`` and ``_spans`` (begin and end characters of toxic runs of
+    words); rows are not moved."""
+    where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, block in word_blocks(batch.column(1)):
+            for at, block in word_blocks(batch.column(where)):
                 starts = chain_starts(block)
                 p = field.marginals(field.emissions(block, field.known(block), starts), starts)
                 spans: list[list] = [[] for _ in range(block.texts)]
@@ -306,19 +309,27 @@ def scored(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text
                         own.append({"begin": int(block.start[i]), "end": int(block.end[i])})
                     last = i
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+                part = batch.slice(at, block.texts)
+                scores = pa.array(field.scores(field.document_views(block, p)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, block.texts), pa.array(field.scores(field.document_views(block, p))), pa.array(spans, kind)],
-                    names=[key, "score", "spans"],
+                    [*part.columns, scores, pa.array(spans, kind)], names=[*part.schema.names, "_score", "_spans"]
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, spans array<struct<begin:int,end:int>>")
+    span = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
+    added = [StructField("_score", DoubleType()), StructField("_spans", ArrayType(span))]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document with its fold, score, decision and spans."""
-    found = scored(docs, trained(docs, labels))
+    found = scored_rows(docs.select("doc_id", "text"), trained(docs, labels))
     return found.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans",
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_spans").alias("spans"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are not predicted toxic."""
+    found = scored_rows(docs, trained(docs, labels))
+    return found.where("_score < 0.5").select(*docs.columns)

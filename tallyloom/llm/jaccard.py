@@ -232,3 +232,16 @@ def jaccard_classes(
     with_words = signed.where("size > 0").select("key", "set_id").join(result, "set_id")
     without = signed.where("size = 0").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
     return with_words.select("key", "class_id", "links").unionByName(without).withColumnRenamed("key", "doc_id")
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """Of each class the rows with its smallest key; rows that repeat whole stay once.
+
+    A row without a key can't be named by a decision and stays.
+    """
+    classes = jaccard_classes(docs, threshold, words)
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    marked = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary"))).withColumn("_hash", F.xxhash64("text"))
+    named = marked.join(kept, F.col("doc_id") == F.col("_kept")).dropDuplicates(["doc_id", "_crc", "_hash"])
+    unnamed = marked.where("doc_id is null")
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
