@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.rows import set_aside
 from tallyloom.llm.shingles import BACK, STEP, mixed, powers
 from tallyloom.sources.workspace import pin
 
@@ -413,7 +414,8 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A character cut in part goes whole. Texts may become empty; null texts stay null.
     """
-    found = repeat_spans(docs, length)
+    inner, back = set_aside(docs, ["doc_id", "text", "n_chars"])
+    found = repeat_spans(inner, length)
     names = found.columns
     text, spans = names.index("text"), names.index("_spans")
     chars = names.index("n_chars")
@@ -435,4 +437,4 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 columns[chars] = pa.array(counts, part.column(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.mapInArrow(run, found.schema).select(*docs.columns)
+    return back(found.mapInArrow(run, found.schema))

@@ -31,6 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.crf import clean_labels, held_out, logistic
 from tallyloom.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, classes
+from tallyloom.llm.rows import set_aside
 from tallyloom.llm.wordblocks import Words, word_blocks
 from tallyloom.sources.workspace import pin
 
@@ -41,6 +42,7 @@ GIVEN = 100
 SURE = 0.95
 WIDTH = 1 << 15
 NAMES = 32
+NEEDED = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @lru_cache(maxsize=1)
@@ -237,7 +239,7 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality") -> View
     free = ids.join(known, "_key", "left_anti").orderBy(*order).limit(POOL).select("_key", F.lit(-1).alias("label"))
     picked = pin(parts[0].unionByName(parts[1]).unionByName(free))
     # At most 2 * LABELLED + POOL keys: the bound of this broadcast.
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_key"))
+    rows = docs.select(*NEEDED).join(F.broadcast(picked), F.col("doc_id") == F.col("_key"))
     sample = viewed(rows).toPandas().drop_duplicates("_key").sort_values("_key").reset_index(drop=True)
     if set(sample["label"]) & {0, 1} != {0, 1}:
         views = Views()
@@ -279,7 +281,7 @@ def scored_rows(docs: DataFrame, views: Views) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document: fold, both views' calibrated scores, the combined score, and whether it
     is kept (score of one half or more)."""
-    found = scored_rows(docs.select("doc_id", "text", "lang", "source", "n_chars"), trained(docs, labels))
+    found = scored_rows(docs.select(*NEEDED), trained(docs, labels))
     return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_text").alias("text_score"),
         F.col("_page").alias("page_score"), F.col("_score").alias("score"),
@@ -289,5 +291,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose combined score is one half or more."""
-    found = scored_rows(docs, trained(docs, labels))
-    return found.where("_score >= 0.5").select(*docs.columns)
+    inner, back = set_aside(docs, NEEDED)
+    return back(scored_rows(inner, trained(docs, labels)).where("_score >= 0.5"))

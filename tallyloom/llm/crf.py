@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from tallyloom.llm.rows import set_aside
 from tallyloom.llm.shingles import shingle_set
 from tallyloom.llm.wordblocks import Words, word_blocks
 from tallyloom.sources.workspace import pin
@@ -331,5 +332,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic."""
-    found = scored_rows(docs, trained(docs, labels))
-    return found.where("_score < 0.5").select(*docs.columns)
+    inner, back = set_aside(docs, ["doc_id", "text"])
+    return back(scored_rows(inner, trained(docs, labels)).where("_score < 0.5"))

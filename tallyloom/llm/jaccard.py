@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
+from tallyloom.llm.rows import set_aside
 from tallyloom.llm.shingles import band_keys, band_plan, set_id, shingle_set
 from tallyloom.sources.workspace import pin
 
@@ -239,9 +240,10 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, words: int = 5) -
 
     A row without a key can't be named by a decision and stays.
     """
+    inner, back = set_aside(docs, ["doc_id", "text"])
     classes = jaccard_classes(docs, threshold, words)
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary"))).withColumn("_hash", F.xxhash64("text"))
+    marked = inner.withColumn("_crc", F.crc32(F.col("text").cast("binary"))).withColumn("_hash", F.xxhash64("text"))
     named = marked.join(kept, F.col("doc_id") == F.col("_kept")).dropDuplicates(["doc_id", "_crc", "_hash"])
     unnamed = marked.where("doc_id is null")
-    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    return back(named.drop("_kept").unionByName(unnamed))
