@@ -177,7 +177,7 @@ class Field:
             grad = np.stack([
                 np.bincount(pairs[1], np.bincount(w, m, len(block.names))[pairs[0]], self.weights.shape[1])
                 for w, m in zip(words, shifted, strict=True)
-            ])
+            ]).astype(float)
             grad -= 0.1 * self.weights
             for i, (name, g) in enumerate((("weights", grad), ("bias", miss.sum()), ("steps", seen - expected - 0.1 * self.steps))):
                 square[i] = square[i] + g * g
