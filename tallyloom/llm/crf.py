@@ -13,8 +13,8 @@ toxic words and the number of all words, fitted on the same sample and shifted t
 
 Labels of rows whose checksum of the key leaves 0 on division by 5 are held out. Rows with a
 null or conflicting label (mean one half) train nothing. Null and empty texts have no words:
-their score is that of no toxic word. Without labelled rows of both classes every score is
-the known share (0 if there is none). Repeated rows get equal scores.
+their score is that of no toxic word. Without labelled rows of both classes, with texts, every score
+is the known share (0 if there is none). Repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -274,6 +274,9 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str
         bounded_sample(plain, known.where(F.col("label") == v), SAMPLE, key).select("_key", "text", "label").toPandas()
         for v in (0, 1)
     ]
+    if not all(map(len, parts)):
+        field.fallback = toxic / (toxic + clean)
+        return field
     sample = pd.concat(parts).sort_values("_key")
     block = Words([t or "" for t in sample["text"]])
     label = sample["label"].to_numpy()
