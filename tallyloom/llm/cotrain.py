@@ -95,8 +95,8 @@ class SparseRows:
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
         self.row = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
-        self.slot = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
+        self.slot = np.concatenate([np.zeros(0), *(r[0] for r in rows)]).astype(np.int64)
+        self.value = np.concatenate([np.zeros(0), *(r[1] for r in rows)])
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.slot], self.n)
