@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import filled, json_or_null, right_strip, strip
+from tallyloom.functions.text import filled, lenient_json, right_strip, strip
 
 KWARGS = (
     "struct<relation:string,num_words:int,num_sentences:int,num_paragraphs:int,"
@@ -33,7 +33,7 @@ PLACEHOLDER = r"\[[^\]]+\]"
 BULLET_LINE = "(?U)^\\s*(\\*|-|•)\\s+"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 HIGHLIGHT = r"\*[^*]+\*"
-TITLE = r"<<.+?>>"
+TITLE = r"<<[^\n]+?>>"
 SEPARATOR = "******"
 MARK_START = ('"', "“")
 MARK_END = ('"', "”")
@@ -70,7 +70,7 @@ def paragraph_number(r: Column, k: Column) -> Column:
 
 
 def placeholder_number(r: Column, k: Column) -> Column:
-    return F.regexp_count(r, F.lit(PLACEHOLDER)) >= F.coalesce(k["num_placeholders"], F.lit(0))
+    return F.regexp_count(r, F.lit(PLACEHOLDER)) >= k["num_placeholders"]
 
 
 def postscript(r: Column, k: Column) -> Column:
@@ -87,13 +87,13 @@ def allowed_answer(r: Column, k: Column) -> Column:
 
 
 def highlight_number(r: Column, k: Column) -> Column:
-    return F.regexp_count(r, F.lit(HIGHLIGHT)) >= F.coalesce(k["num_highlights"], F.lit(0))
+    return F.regexp_count(r, F.lit(HIGHLIGHT)) >= k["num_highlights"]
 
 
 def section_number(r: Column, k: Column) -> Column:
     marker = F.coalesce(filled(k["section_spliter"]), F.lit("SECTION"))
     pattern = F.concat(F.lit("(?U)"), quoted(marker), F.lit(r"\s*\d+"))
-    return F.regexp_count(r, pattern) >= F.coalesce(k["num_sections"], F.lit(0))
+    return F.regexp_count(r, pattern) >= k["num_sections"]
 
 
 def title(r: Column, k: Column) -> Column:
@@ -101,7 +101,7 @@ def title(r: Column, k: Column) -> Column:
 
 
 def json_text(r: Column, k: Column) -> Column:
-    return json_or_null(F.btrim(strip(r), F.lit("`"))).isNotNull()
+    return lenient_json(F.btrim(strip(r), F.lit("`"))).isNotNull()
 
 
 def keywords_present(r: Column, k: Column) -> Column:
@@ -165,7 +165,7 @@ def in_quotes(r: Column, k: Column) -> Column:
 
 
 def ends_with_phrase(r: Column, k: Column) -> Column:
-    return F.endswith(right_strip(r), F.coalesce(k["end_phrase"], F.lit("")))
+    return F.endswith(right_strip(r), k["end_phrase"])
 
 
 def two_responses(r: Column, k: Column) -> Column:
@@ -173,7 +173,7 @@ def two_responses(r: Column, k: Column) -> Column:
 
 
 def repeats_prompt(r: Column, k: Column) -> Column:
-    return F.contains(r, F.coalesce(k["prompt_to_repeat"], F.lit("")))
+    return F.contains(r, k["prompt_to_repeat"])
 
 
 Check = Callable[[Column, Column], Column]

@@ -51,9 +51,12 @@ def prompt_by_task(task: Column, **fields: Column) -> Column:
 
 
 def lettered(choices: Column) -> Column:
-    """One line per choice, with a letter in front."""
+    """One line per choice, with a letter in front; more choices than letters are an error."""
+    fitting = F.when(
+        F.size(choices) > len(LETTERS), F.raise_error(F.lit("more choices than letters"))
+    ).otherwise(choices)
     lines = F.transform(
-        F.slice(choices, 1, len(LETTERS)),
+        fitting,
         lambda c, i: F.concat(F.lit("\n"), F.char(i.cast("long") + 65), F.lit(". "), c),
     )
     return F.array_join(lines, "")

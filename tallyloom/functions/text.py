@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -139,7 +140,7 @@ def cut_at_stops(text: Column, stops: Sequence[str]) -> Column:
 
 def cleaned_context(text: Column) -> Column:
     titled = F.replace(strip(text), F.lit(" [title]"), F.lit(". "))
-    bare = F.regexp_replace(titled, r"\[.*?\]", "")
+    bare = F.regexp_replace(titled, r"\[[^\n]*?\]", "")
     return F.replace(bare, F.lit("  "), F.lit(" "))
 
 
@@ -167,6 +168,26 @@ def json_or_null(text: Column) -> Column:
     return F.when(alone & as_field.isNotNull(), F.try_parse_json(text))
 
 
+@F.pandas_udf(StringType())
+def plain_json(texts: pd.Series) -> pd.Series:
+    """JSON with repeated keys (the last one counts) or NaN (null) in plain form; else null."""
+
+    def plain(text):
+        try:
+            return None if text is None else json.dumps(json.loads(text, parse_constant=lambda name: None))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(plain)
+
+
+def lenient_json(text: Column) -> Column:
+    """The text itself where Spark takes it as one JSON value, else its plain form or null."""
+    known = json_or_null(text).isNotNull()
+    likely = text.rlike(r'^\s*[\[{"0-9NIt\-fn]')
+    return F.when(known, text).otherwise(plain_json(F.when(~known & likely, text)))
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside nested lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -84,10 +84,12 @@ def weighted_order(
 
     Rows of a source arrive as a Poisson stream with the weight as its rate. The
     merged streams pick sources by weight, and once one has ended the others keep
-    their relative weights.
+    their relative weights. Waits are whole numbers of 2^-20, so that sums do not depend
+    on how rows are grouped.
     """
+    wait = exponential(seed, F.col("source"), F.col(key)) / F.col("weight")
     gaps = rows.join(shares.filter(F.col("weight") > 0), "source").withColumn(
-        "_gap", exponential(seed, F.col("source"), F.col(key)) / F.col("weight")
+        "_gap", F.floor(wait * F.lit(float(1 << 20))).cast("long")
     )
     timed = totals_by_key(gaps, {"_waited": F.col("_gap")}, key, groups=["source"])
     return timed.withColumn("arrival", F.col("_waited") + F.col("_gap")).drop(

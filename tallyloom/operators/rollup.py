@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import lenient_json
+
 # The metrics that count for each task of the language-understanding score.
 GLUE_PRIMARY = {
     "cola": ["matthews_corrcoef"],
@@ -45,22 +47,27 @@ METRIC_STAGES = ["base", "sft", "dpo"]
 
 SUMMARY = (
     "checkpoint string, tokenizer string, fast boolean, total_elapsed_s double, "
-    "tasks array<struct<task:string,status:string,metric:double,"
-    "metric_keys_tried:array<string>,raw:variant>>"
+    "tasks array<string>"
 )
+TASK = "task string, status string, metric double, metric_keys_tried array<string>, raw variant"
 
 
 def parsed_summaries(files: DataFrame) -> DataFrame:
-    """Summary texts as columns; texts that are no JSON object are left out."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    rows = files.withColumn(
-        "_s", F.from_json("content", SUMMARY + ", _broken string", options)
+    """Summary texts as columns; texts that are no JSON object are left out.
+
+    Of repeated keys the last one counts; a field of another type is null, and entries of
+    the task list that are no object are skipped.
+    """
+    plain = files.withColumn("_plain", lenient_json(F.col("content")))
+    rows = plain.filter(F.ltrim("_plain").startswith("{")).withColumn(
+        "_s", F.from_json("_plain", SUMMARY)
     )
-    usable = F.col("_s._broken").isNull() & F.ltrim("content").startswith("{")
-    return rows.filter(F.col("_s").isNotNull() & usable).select(
+    entries = F.filter("_s.tasks", lambda t: F.ltrim(t).startswith("{"))
+    tasks = F.transform(entries, lambda t: F.from_json(t, TASK))
+    return rows.select(
         "path", "_s.checkpoint", "_s.tokenizer", F.coalesce("_s.fast", F.lit(False)).alias("fast"),
         F.col("_s.total_elapsed_s").alias("elapsed_s"),
-        F.coalesce(F.col("_s.tasks"), F.array()).alias("tasks"),
+        F.coalesce(tasks, F.array()).alias("tasks"),
     )
 
 

@@ -9,7 +9,7 @@ from tallyloom.operators.ordered import CHUNK, carry_forward, totals_by_key, tra
 from tallyloom.sources.workspace import pin
 
 # Fixed pattern of a loss line: step, loss and learning rate.
-LOSS_LINE = r"step=(\d+)\s+loss=([\d.]+).*?lr=([\d.e+-]+)"
+LOSS_LINE = r"step=(\d+)\s+loss=([\d.]+)[^\n]*?lr=([\d.e+-]+)"
 # Stages and the words that announce them, in the order they are tried.
 STAGES = {
     "pretrain": "(?i)pretrain",

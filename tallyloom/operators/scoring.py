@@ -178,9 +178,11 @@ def token_overlap(
 def best_over_golds(
     answers: DataFrame, keys: Sequence[str], empty_by_tokens: bool
 ) -> DataFrame:
-    """Best exact match and F1 over ``golds``; an empty list stands for one empty gold."""
+    """Best exact match and F1 over ``golds``; a list without a filled gold stands for one
+    empty gold."""
+    filled = F.when(F.exists("golds", lambda g: T.strip(g) != ""), F.col("golds"))
     spread = answers.select(
-        *keys, "predicted", F.posexplode_outer("golds").alias("_no", "_gold")
+        *keys, "predicted", F.posexplode_outer(filled).alias("_no", "_gold")
     ).select(
         *keys,
         "predicted",

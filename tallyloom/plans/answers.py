@@ -477,7 +477,7 @@ def cut_at_stops(spark, sf_dir):
 
 @query(
     "cleaned_context",
-    f"""SELECT page_id, md5(replace(regexp_replace(replace(trim(body, {TRIM}), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ')) AS cleaned_md5,
+    f"""SELECT page_id, md5(replace(regexp_replace(replace(trim(body, {TRIM}), ' [title]', '. '), '\\[[^\\n]*?\\]', '', 'g'), '  ', ' ')) AS cleaned_md5,
     upper(url[1]) || lower(url[2:]) AS capitalised FROM (SELECT page_id, url, ' ' || replace(replace(html, '<', '['), '>', ']') || ' [title] x  y [z] ' AS body FROM pages)""",
 )
 def cleaned_context(spark, sf_dir):

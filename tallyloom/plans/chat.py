@@ -89,12 +89,17 @@ SETS = [
 SETS_SQL = "[" + ", ".join(f"'{s}'" for s in SETS) + "]"
 
 
+def from_line(n):
+    """All lines from the ``n``-th on as one text, null if there are fewer."""
+    return F.when(F.size("lines") >= n, F.array_join(F.slice("lines", n, F.size("lines")), "\n"))
+
+
 def wide_examples(spark, sf_dir):
     """Document lines in the schema of the data set each document is assigned to."""
     kind = (F.col("doc_id") % len(SETS)).cast("int")
     first = F.try_element_at("lines", F.lit(1))
     second = F.try_element_at("lines", F.lit(2))
-    third = F.try_element_at("lines", F.lit(3))
+    others, third = from_line(2), from_line(3)
     odd = F.filter("lines", lambda l, i: i % 2 == 0)
     even = F.filter("lines", lambda l, i: i % 2 == 1)
 
@@ -128,7 +133,7 @@ def wide_examples(spark, sf_dir):
         only(5, value=F.lit("")).alias("prompt"),
         only(3, 5, value=first).alias("query"),
         only(8, value=second).alias("question"),
-        only(3, 5, value=second).alias("response"),
+        only(3, 5, value=others).alias("response"),
         only(8, value=third).alias("answer"),
         only(4, value=first).alias("problem"),
         only(4, value=second).alias("generated_solution"),
@@ -140,7 +145,9 @@ def wide_examples(spark, sf_dir):
 
 
 WIDE_SQL = f"""{LINES_SQL},
-wide AS (SELECT doc_id, ({SETS_SQL})[(doc_id % 9 + 1)::INT] AS dataset, doc_id % 9 AS kind, text, ls, ls[1] AS l1, ls[2] AS l2, ls[3] AS l3,
+wide AS (SELECT doc_id, ({SETS_SQL})[(doc_id % 9 + 1)::INT] AS dataset, doc_id % 9 AS kind, text, ls, ls[1] AS l1,
+  CASE WHEN len(ls) >= 2 THEN CASE WHEN doc_id % 9 IN (3, 5) THEN array_to_string(ls[2:], chr(10)) ELSE ls[2] END END AS l2,
+  CASE WHEN len(ls) >= 3 THEN array_to_string(ls[3:], chr(10)) END AS l3,
   len(ls) - list_position(list_reverse(list_transform(ls, lambda l, i: i % 2 = 0)), true) + 1 AS spot FROM lines)"""
 TRIM = "chr(9) || chr(10) || chr(13) || ' '"
 
@@ -184,7 +191,7 @@ def normalised_chats(spark, sf_dir):
 
 
 FORMAT_SQL = f"""{LINES_SQL}, formatted AS (SELECT doc_id, '### Instruction:' || chr(10) || trim(ls[1], {TRIM}) ||
-  CASE WHEN trim(coalesce(ls[3], ''), {TRIM}) <> '' THEN chr(10) || chr(10) || '### Input:' || chr(10) || trim(ls[3], {TRIM}) ELSE '' END ||
+  CASE WHEN trim(array_to_string(ls[3:], chr(10)), {TRIM}) <> '' THEN chr(10) || chr(10) || '### Input:' || chr(10) || trim(array_to_string(ls[3:], chr(10)), {TRIM}) ELSE '' END ||
   chr(10) || chr(10) || '### Response:' || chr(10) || trim(ls[2], {TRIM}) AS body FROM lines WHERE len(ls) >= 2)"""
 
 
@@ -194,7 +201,7 @@ def formatted_instructions(spark, sf_dir):
         "doc_id",
         C.instruction_text(
             F.try_element_at("lines", F.lit(1)),
-            F.try_element_at("lines", F.lit(3)),
+            from_line(3),
             F.try_element_at("lines", F.lit(2)),
         ).alias("text"),
     )
@@ -214,7 +221,7 @@ def instruction_dispatch(spark, sf_dir):
     pair = _lines(spark, sf_dir).filter(F.size("lines") >= 2).select(
         F.col("doc_id").alias("row_id"),
         F.try_element_at("lines", F.lit(1)).alias("instruction"),
-        F.try_element_at("lines", F.lit(3)).alias("input"),
+        from_line(3).alias("input"),
         F.try_element_at("lines", F.lit(2)).alias("output"),
     )
     pages = table(spark, sf_dir, "pages").select(

@@ -274,7 +274,7 @@ def quota_mix_report(spark, sf_dir):
 
 
 ARRIVAL_SQL = f"""{SHARES_SQL}, {COUNTED_SQL},
-gaps AS (SELECT c.*, -ln({UNIFORM_SQL.format("'0:' || source || ':' || doc_id")}) / weight AS gap
+gaps AS (SELECT c.*, CAST(floor(-ln({UNIFORM_SQL.format("'0:' || source || ':' || doc_id")}) / weight * 1048576) AS BIGINT) AS gap
   FROM counted c JOIN shares USING (source)),
 arrivals AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY source ORDER BY doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap AS arrival FROM gaps),

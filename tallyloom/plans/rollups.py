@@ -227,8 +227,8 @@ def merged_elapsed(spark, sf_dir):
     ).agg(F.round(F.sum("value"), 4).alias("elapsed_s"))
 
 
-STAGE_SQL = """results AS (SELECT user_id AS model, CASE event_type WHEN 'view' THEN 'pretrain' WHEN 'click' THEN 'sft' WHEN 'error' THEN 'dpo' ELSE 'base' END AS stage,
-  CASE WHEN max(event_id) % 7 = 0 THEN 0 ELSE max(value) / 500 END AS sst2, min(value) / 500 AS gsm8k FROM events WHERE event_id % 3 <> user_id % 3 OR event_type = 'error' GROUP BY ALL)"""
+STAGE_SQL = """results AS (SELECT * FROM (SELECT user_id AS model, CASE event_type WHEN 'view' THEN 'pretrain' WHEN 'click' THEN 'sft' WHEN 'error' THEN 'dpo' ELSE 'base' END AS stage,
+  CASE WHEN max(event_id) % 7 = 0 THEN 0 ELSE max(value) / 500 END AS sst2, min(value) / 500 AS gsm8k FROM events GROUP BY ALL) WHERE (model + length(stage)) % 3 <> 0)"""
 
 
 def stage_results(spark, sf_dir):
@@ -239,11 +239,12 @@ def stage_results(spark, sf_dir):
         .when(F.col("event_type") == "error", "dpo")
         .otherwise("base")
     )
-    used = (F.col("event_id") % 3 != F.col("user_id") % 3) | (F.col("event_type") == "error")
-    return events.filter(used).groupBy(F.col("user_id").alias("model"), stage.alias("stage")).agg(
+    results = events.groupBy(F.col("user_id").alias("model"), stage.alias("stage")).agg(
         F.when(F.max("event_id") % 7 == 0, 0.0).otherwise(F.max("value") / 500).alias("sst2"),
         (F.min("value") / 500).alias("gsm8k"),
     )
+    # A third of the stages never ran; the others use all their events.
+    return results.where((F.col("model") + F.length("stage")) % 3 != 0)
 
 
 @query(

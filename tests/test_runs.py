@@ -185,3 +185,26 @@ def test_broken_bytes_are_dropped(spark):
     got = {r["i"]: r["t"] for r in df.select("i", decoded(F.col("raw")).alias("t")).collect()}
     for i, raw in rows:
         assert got[i] == (None if raw is None else bytes(raw).decode("utf-8", "ignore")), raw
+
+
+def test_summaries_keep_odd_entries(spark):
+    task = '{"task": "t", "status": "ok", "raw": {"a": 1, "a": 2}}'
+    texts = [("p", '{"checkpoint": "c", "tasks": [' + task + ', 5, "x", null]}'), ("q", '{"total_elapsed_s": "x", "tasks": 3}')]
+    parsed = R.parsed_summaries(spark.createDataFrame(texts, "path string, content string"))
+    assert {r["path"]: len(r["tasks"]) for r in parsed.collect()} == {"p": 1, "q": 0}
+    row = R.summary_tasks(parsed).select("task", F.try_variant_get("raw", "$.a", "int").alias("a")).collect()
+    assert [tuple(r) for r in row] == [("t", 2)]
+
+
+def test_lenient_checks(spark):
+    texts = ['{"a":1,"a":2}', "[NaN]", "```[1]```", "{1}", "no", "<<a\rb>>", "<<a b>>", "<<a\nb>>"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, r string")
+    from tallyloom.functions import checks
+
+    none = F.from_json(F.lit("{}"), "num_placeholders int, num_highlights int, num_sections int, section_spliter string, end_phrase string, prompt_to_repeat string, postscript_marker string")
+    got = rows.select("i", checks.json_text(F.col("r"), none).alias("json"), checks.title(F.col("r"), none).alias("title"),
+                      *[F.coalesce(f(F.col("r"), none), F.lit(False)).alias(f"n{k}") for k, f in enumerate((checks.placeholder_number, checks.highlight_number, checks.section_number, checks.ends_with_phrase, checks.repeats_prompt))])
+    found = got.orderBy("i").collect()
+    assert [r["json"] for r in found] == [True, True, True, False, False, False, False, False]
+    assert [r["title"] for r in found] == [False] * 5 + [True, True, False]
+    assert not any(r[f"n{k}"] for r in found for k in range(5))
