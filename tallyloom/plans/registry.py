@@ -15,7 +15,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _AREAS = (
     "corpus", "packing", "chat", "preference", "scoring", "answers", "instructions",
-    "losses", "rollups", "runlogs", "vocab", "incremental",
+    "losses", "rollups", "runlogs", "vocab", "incremental", "selection",
 )
 
 
