@@ -76,7 +76,22 @@ def text_rows(df: DataFrame, field: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def capped(df: DataFrame, cap: int | None, order: str) -> DataFrame:
-    return df if cap is None else df.orderBy(order).limit(cap)
+    """The first ``cap`` rows by ``order``, nulls first.
+
+    Only the order column is sorted, for the last key that counts; rows are then filtered by
+    it where they are. Rows that share that key fill what room is left.
+    """
+    if cap is None:
+        return df
+    if cap < 1:
+        return df.limit(0)
+    firsts = df.select(F.col(order).alias("_o")).orderBy("_o").limit(cap)
+    last = firsts.agg(F.max("_o")).first()[0]
+    if last is None:
+        return df.filter(F.col(order).isNull()).limit(cap)
+    room = firsts.filter(F.col("_o") == F.lit(last)).count()
+    below = df.filter(F.col(order).isNull() | (F.col(order) < F.lit(last)))
+    return below.unionByName(df.filter(F.col(order) == F.lit(last)).limit(room))
 
 
 def capped_by_catalogue(

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.operators import selection as S
+from tallyloom.sources import corpora
 
 
 def test_majority_and_rejection(spark):
@@ -25,3 +26,13 @@ def test_wins(spark):
     base = spark.createDataFrame([(t, 0.6) for t in range(4)], "task int, score double")
     assert [tuple(r) for r in S.task_wins(scores, base, 2).collect()] == [("m", 4, 2, True)]
     assert S.scored_at_least(scores.withColumn("score", F.lit(None).cast("double")), "score", 0).count() == 0
+
+
+def test_capped(spark):
+    table = spark.createDataFrame([(k, i) for i, k in enumerate([5, None, 3, 3, 3, 9, 1])], "k int, i int")
+    for cap, want in ((None, 7), (0, 0), (1, 1), (3, 3), (4, 4), (7, 7), (50, 7)):
+        got = corpora.capped(table, cap, "k").collect()
+        assert len(got) == want
+        keys = sorted((-1 if r["k"] is None else r["k"]) for r in got)
+        assert keys == [-1, 1, 3, 3, 3, 5, 9][:want]
+    assert corpora.capped(table.filter("k is null"), 3, "k").count() == 1
