@@ -17,23 +17,92 @@ from tallyloom.operators.ordered import totals_by_key, whole
 from tallyloom.sources.workspace import pin
 
 
-def _walk_chunk(shard_size: int, emit_starts: bool):
-    """Follow the shards through one chunk from the point where it is entered."""
+FAN = 16
+SAME = -1
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("before")
-        begins = ordered["before"].to_numpy()
-        ends = begins + ordered["n_tokens"].to_numpy()
-        reach, starts = int(ordered["entry"].iloc[0]), []
-        while reach < ends[-1]:
-            at = int(np.searchsorted(ends, reach, side="right"))
-            starts.append(int(begins[at]))
-            reach = int(max(begins[at] + shard_size, ends[at]))
-        if emit_starts:
-            return pd.DataFrame({"before": np.array(starts, dtype="int64")})
-        return pd.DataFrame({"chunk": [int(ordered["chunk"].iloc[0])], "leaves_at": [reach]})
 
-    return walk
+def _chunk_starts(rows: pd.DataFrame, shard_size: int) -> pd.DataFrame:
+    """Follow the shards through one chunk from the point where it is entered."""
+    ordered = rows.sort_values("before")
+    begins = ordered["before"].to_numpy()
+    ends = begins + ordered["n_tokens"].to_numpy()
+    reach, starts = int(ordered["entry"].iloc[0]), []
+    while reach < ends[-1]:
+        at = int(np.searchsorted(ends, reach, side="right"))
+        starts.append(int(begins[at]))
+        reach = int(max(begins[at] + shard_size, ends[at]))
+    return pd.DataFrame({"before": np.array(starts, dtype="int64")})
+
+
+def _chunk_exits(rows: pd.DataFrame, shard_size: int) -> pd.DataFrame:
+    """Where packing leaves a chunk, for every point where it can enter it.
+
+    From ``low`` on (up to the next ``low``) the chunk is left at ``leaves``, or passed over
+    (``SAME``). No shard that began before the chunk reaches further than one shard into it.
+    """
+    ordered = rows.sort_values("before")
+    begins = ordered["before"].to_numpy()
+    ends = begins + ordered["n_tokens"].to_numpy()
+    reach = np.maximum(begins + shard_size, ends)
+    follows = np.searchsorted(ends, reach, side="right")
+    own = np.arange(len(ends))
+    last = np.where(follows == len(ends), own, np.minimum(follows, len(ends) - 1))
+    while not np.array_equal(last, last[last]):
+        last = last[last]
+    low = np.append(np.concatenate([begins[:1], ends[:-1]]), ends[-1])
+    leaves = np.append(reach[last], SAME)
+    return _steps(low, leaves, int(ordered["block"].iloc[0]), begins[0] + shard_size)
+
+
+def _steps(low: np.ndarray, leaves: np.ndarray, block: int, furthest: int | None = None) -> pd.DataFrame:
+    """Steps that change something, up to ``furthest``."""
+    kept = np.concatenate([[True], leaves[1:] != leaves[:-1]])
+    if furthest is not None:
+        kept &= low <= furthest
+    return pd.DataFrame({"block": block, "low": low[kept], "leaves": leaves[kept]})
+
+
+def _left_at(steps: pd.DataFrame, entry: int) -> int:
+    at = max(0, int(np.searchsorted(steps["low"].to_numpy(), entry, side="right")) - 1)
+    found = int(steps["leaves"].iloc[at])
+    return entry if found == SAME else found
+
+
+def _joined_exits(rows: pd.DataFrame) -> pd.DataFrame:
+    """The steps of neighbouring blocks as those of one block."""
+    low = leaves = None
+    for _, steps in rows.sort_values(["block", "low"]).groupby("block", sort=True):
+        then_low, then_leaves = steps["low"].to_numpy(), steps["leaves"].to_numpy()
+        if low is None:
+            low, leaves = then_low, then_leaves
+            continue
+        new_low, new_leaves = [], []
+        passed = np.flatnonzero(leaves == SAME)
+        fixed = leaves != SAME
+        at = np.maximum(0, np.searchsorted(then_low, leaves[fixed], side="right") - 1)
+        found = then_leaves[at]
+        new_low.append(low[fixed])
+        new_leaves.append(np.where(found == SAME, leaves[fixed], found))
+        for i in passed:
+            end = low[i + 1] if i + 1 < len(low) else np.iinfo(np.int64).max
+            first = max(0, int(np.searchsorted(then_low, low[i], side="right")) - 1)
+            stop = max(first + 1, int(np.searchsorted(then_low, end, side="left")))
+            new_low.append(np.maximum(then_low[first:stop], low[i]))
+            new_leaves.append(then_leaves[first:stop])
+        low, leaves = np.concatenate(new_low), np.concatenate(new_leaves)
+        order = np.argsort(low, kind="stable")
+        low, leaves = low[order], leaves[order]
+    return _steps(low, leaves, int(rows["parent"].iloc[0]))
+
+
+def _passed_down(rows: pd.DataFrame) -> pd.DataFrame:
+    """Entry and exit of each block below one that is entered at ``entry``."""
+    entry, out = int(rows["entry"].iloc[0]), []
+    for block, steps in rows.sort_values(["block", "low"]).groupby("block", sort=True):
+        leaves = _left_at(steps, entry)
+        out.append((int(block), entry, leaves))
+        entry = leaves
+    return pd.DataFrame(out, columns=["block", "entry", "leaves"])
 
 
 @dataclass(frozen=True)
@@ -55,11 +124,11 @@ def aligned_shards(
     """Add ``shard_id``: the longest run of whole documents that fits, at least one.
 
     ``docs`` also holds ``position``. Where a shard starts depends on the one before
-    it. The stream is cut into chunks of ``rows_per_chunk`` rows and all chunks are
-    walked at once from an assumed entry point; a chunk is walked again only when the
-    chunks before it turn out to hand over at another point. The first chunk is
-    entered where packing stopped, so when nothing changes any more every entry is
-    right. The walk reads two integers per row; the driver keeps two per chunk.
+    it. The stream is cut into chunks of ``rows_per_chunk`` rows; each finds, for every
+    point where it may be entered, where it is left. The tables of ``FAN`` chunks are
+    joined into one, and so on up; the true entries are then passed down, and each chunk is
+    walked once. The number of passes follows the logarithm of the number of chunks,
+    whatever the lengths of the rows. A table has at most the rows of one shard.
     """
     return _aligned(docs, shard_size, rows_per_chunk, after)[0]
 
@@ -77,37 +146,29 @@ def _aligned(
         )
     )
 
-    def entered(chunks: list[int]) -> DataFrame:
-        rows = [(c, entries[c]) for c in chunks]
-        return spans.join(spark.createDataFrame(rows, "chunk long, entry long"), "chunk")
-
-    found = spans.groupBy("chunk").agg(F.min("before").alias("first")).collect()
-    first = {r["chunk"]: r["first"] for r in found}
-    order = sorted(first)
-    if not order:
+    chunks = sorted(r["chunk"] for r in spans.select("chunk").distinct().collect())
+    if not chunks:
         return filled.withColumn("shard_id", F.lit(0).cast("long")), after.reach
-    entries = {**first, order[0]: max(first[order[0]], after.reach)}
-    leaves_at: dict[int, int] = {}
-    to_walk = order
-    while to_walk:
-        walked = (
-            entered(to_walk)
-            .groupBy("chunk")
-            .applyInPandas(_walk_chunk(shard_size, False), "chunk long, leaves_at long")
-            .collect()
-        )
-        leaves_at.update({r["chunk"]: r["leaves_at"] for r in walked})
-        reach, to_walk = after.reach, []
-        for c in order:
-            entry = max(reach, first[c])
-            if entries[c] != entry:
-                entries[c] = entry
-                to_walk.append(c)
-            reach = max(reach, leaves_at[c])
+    numbers = spark.createDataFrame(list(enumerate(chunks)), "block long, chunk long")
+    blocks = spans.join(numbers, "chunk").select("block", "before", "n_tokens")
+    steps = "block long, low long, leaves long"
+    levels = [pin(blocks.groupBy("block").applyInPandas(lambda rows: _chunk_exits(rows, shard_size), steps))]
+    width = len(chunks)
+    parent = F.floor(F.col("block") / FAN).cast("long").alias("parent")
+    while width > FAN:
+        width = -(-width // FAN)
+        under = levels[-1].select("*", parent)
+        levels.append(pin(under.groupBy("parent").applyInPandas(_joined_exits, steps)))
+    entries = spark.createDataFrame([(0, after.reach)], "parent long, entry long")
+    for level in reversed(levels):
+        under = level.select("*", parent).join(entries, "parent")
+        found = pin(under.groupBy("parent").applyInPandas(_passed_down, "block long, entry long, leaves long"))
+        entries = found.select(F.col("block").alias("parent"), "entry")
+    reach = max(after.reach, found.agg(F.max("leaves")).first()[0])
     starts = (
-        entered(order)
-        .groupBy("chunk")
-        .applyInPandas(_walk_chunk(shard_size, True), "before long")
+        blocks.join(found.select("block", "entry"), "block")
+        .groupBy("block")
+        .applyInPandas(lambda rows: _chunk_starts(rows, shard_size), "before long")
         .withColumn("_starts", F.lit(1))
     )
     opened = filled.join(starts, "before", "left").withColumn(

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,33 @@ def test_equal_documents_never_merge_chains(spark):
     assert [r["shard_id"] for r in got] == brute_shards(sizes, 20)
 
 
+@pytest.mark.parametrize("sizes,limit,chunk", [([7] * 60, 20, 7), ([1, 2, 9, 1, 1, 4] * 12, 30, 4)])
+def test_tables_of_chunks_join(spark, monkeypatch, sizes, limit, chunk):
+    """Several levels, and chunks shorter than a shard, which packing may pass over."""
+    monkeypatch.setattr(P, "FAN", 3)
+    got = P.aligned_shards(placed(spark, sizes), limit, rows_per_chunk=chunk).orderBy("doc_id").collect()
+    assert [r["shard_id"] for r in got] == brute_shards(sizes, limit)
+
+
+def test_joined_tables_by_hand():
+    """A joined table says the same as its parts one after the other."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = rng.integers(1, 9, 24)
+        begins = np.cumsum(sizes) - sizes
+        limit = int(rng.integers(3, 40))
+        parts = [
+            P._chunk_exits(pd.DataFrame({"before": begins[i : i + 4], "n_tokens": sizes[i : i + 4], "block": i // 4}), limit)
+            for i in range(0, 24, 4)
+        ]
+        whole = P._joined_exits(pd.concat(parts).assign(parent=0))
+        for entry in range(limit):
+            at = entry
+            for part in parts:
+                at = P._left_at(part, at)
+            assert P._left_at(whole, entry) == at
+
+
 def test_appending_equals_packing_at_once(spark):
     rng = random.Random(5)
     sizes = [rng.randint(1, 9) for _ in range(50)]
