@@ -35,11 +35,12 @@ from tallyloom.llm.wordblocks import Words, word_blocks
 from tallyloom.sources.workspace import pin
 
 CHAIN = 256
-SAMPLE = 1500
+SAMPLE = 800
 FEATURES = 20_000
 HELD = 200_000
 DOUBT = 2.0
 PURE = 0.3
+BROADCAST_ROWS = 200_000
 ROUNDS = 60
 
 
@@ -261,15 +262,17 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str
     apart = known.join(near_copies(plain, key), "_key", "left").groupBy(
         F.coalesce("_mark", F.xxhash64("_key")), "label"
     ).agg(F.min("_key").alias("_key"))
-    rows = plain.join(apart, F.col(key) == F.col("_key")).select("text", "label")
-    counts = pin(feature_counts(rows))
+    apart = pin(apart.select("_key", "label"))
     sizes = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         field = Field([])
         field.fallback = toxic / max(1, toxic + clean)
         return field
-    field = Field(marking_features(counts, clean, toxic))
+    # Keys and labels of 16 bytes a row: few are sent to all, many are joined by shuffling.
+    side = F.broadcast(apart) if clean + toxic <= BROADCAST_ROWS else apart
+    rows = plain.join(side, F.col(key) == F.col("_key")).select("text", "label")
+    field = Field(marking_features(pin(feature_counts(rows)), clean, toxic))
     parts = [
         bounded_sample(plain, known.where(F.col("label") == v), SAMPLE, key).select("_key", "text", "label").toPandas()
         for v in (0, 1)
