@@ -3,13 +3,13 @@
 The chain is a sentence (at most ``CHAIN`` words); each word is outside or toxic. Features are
 the word and its prefixes of 4 to 6 letters, for the word itself and for its neighbours, and
 the transitions. Only features that mark toxic documents are kept: their counts over all
-labelled training rows, near copies once, must be further from chance than the number of
-features explains (likelihood ratio above ``DOUBT`` times its logarithm), with a share of
-toxic rows of ``PURE`` at least. Words of toxic rows with such a feature are the
-labelled tokens. The weights maximise the likelihood of tagged sentences of a bounded sample
-(``SAMPLE`` rows a class); forward and backward passes run over all sentences of a block at
-once. A row's score is a logistic function of the largest marginal, the expected number of
-toxic words and the number of all words, fitted on the same sample and shifted to the share of toxic rows.
+labelled training rows must be further from chance than the number of features explains
+(likelihood ratio above ``DOUBT`` times its logarithm), with a share of toxic rows of ``PURE``
+at least. Words of toxic rows with such a feature are the labelled tokens. The weights
+maximise the likelihood of tagged sentences of a bounded sample (``SAMPLE`` rows a class);
+forward and backward passes run over all sentences of a block at once. A row's score is a
+logistic function of the largest marginal, the expected number of toxic words and the number
+of all words, fitted on the same sample and shifted to the share of toxic rows.
 
 Labels of rows whose checksum of the key leaves 0 on division by 5 are held out. Rows with a
 null or conflicting label (mean one half) train nothing. Null and empty texts have no words:
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tallyloom.llm.rows import set_aside
-from tallyloom.llm.shingles import shingle_set
 from tallyloom.llm.wordblocks import Words, word_blocks
 from tallyloom.sources.workspace import pin
 
@@ -236,41 +235,18 @@ def bounded_sample(docs: DataFrame, picked: DataFrame, rows: int, key: str = "do
     return docs.join(F.broadcast(few), F.col(key) == F.col("_key")).dropDuplicates(["_key"])
 
 
-def near_copies(plain: DataFrame, key: str) -> DataFrame:
-    """``_key`` and ``_mark``: the smallest shingle hash, mostly the same for near copies.
-
-    Copies of a text say nothing new about a feature, so one row of each mark is counted.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = []
-            for value in batch.column(1):
-                found = shingle_set(value.as_py())
-                marks.append(int(found[:1].view(np.int64)[0]) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["_key", "_mark"])
-
-    kind = plain.schema[key].dataType.simpleString()
-    found = plain.select(key, "text").mapInArrow(run, f"_key {kind}, _mark long")
-    return found.groupBy("_key").agg(F.min("_mark").alias("_mark"))
-
-
 def trained(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text: str = "text") -> Field:
     """A field from the training labels. The driver holds the features kept and the sample."""
     known = pin(clean_labels(labels, column, key).where(~held_out(F.col("_key"))))
     plain = docs.select(F.col(key), F.col(text).alias("text"))
-    apart = known.join(near_copies(plain, key), "_key", "left").groupBy(
-        F.coalesce("_mark", F.xxhash64("_key")), "label"
-    ).agg(F.min("_key").alias("_key"))
-    apart = pin(apart.select("_key", "label"))
-    sizes = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         field = Field([])
         field.fallback = toxic / max(1, toxic + clean)
         return field
     # Keys and labels of 16 bytes a row: few are sent to all, many are joined by shuffling.
-    side = F.broadcast(apart) if clean + toxic <= BROADCAST_ROWS else apart
+    side = F.broadcast(known) if clean + toxic <= BROADCAST_ROWS else known
     rows = plain.join(side, F.col(key) == F.col("_key")).select("text", "label")
     field = Field(marking_features(pin(feature_counts(rows)), clean, toxic))
     parts = [

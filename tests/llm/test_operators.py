@@ -450,3 +450,24 @@ def test_quality(judged, docs, empty):
     assert kept.join(docs, "shard", "left_anti").count() == 0
     assert cotrain.without_poor(empty, labels).count() == 0
     assert {r["score"] for r in cotrain.quality(rows, labels.where("quality > 5")).collect()} == {1.0}
+
+
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
+    """Documents that share most of their words stay apart, in the counts and in the class share."""
+    shared = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, f"{shared} own{i} {'vileword' if i % 4 == 0 else 'kindword'} end{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    marking = crf.marking_features
+
+    def kept(counts, clean, toxic):
+        row = counts.where("feature = 'common7'").first()
+        seen.append((clean, toxic, row["clean"], row["toxic"]))
+        return marking(counts, clean, toxic)
+
+    monkeypatch.setattr(crf, "marking_features", kept)
+    crf.trained(docs, labels)
+    training = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    toxic = sum(i % 4 == 0 for i in training)
+    assert seen == [(len(training) - toxic, toxic, len(training) - toxic, toxic)]
