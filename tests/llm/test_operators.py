@@ -471,3 +471,17 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
     training = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
     toxic = sum(i % 4 == 0 for i in training)
     assert seen == [(len(training) - toxic, toxic, len(training) - toxic, toxic)]
+
+
+def test_co_training_learns_from_every_unlabelled_row(spark):
+    """Each unlabelled row has a word of its own; all get a weight once the page view is sure."""
+    def row(i, poor):
+        body = "click here buy cheap now!!! " * 3 if poor else "A calm and careful sentence about rivers. " * 2
+        return i, f"{body} own{i}x", "en", "spam" if poor else "book", 90
+
+    rows = [row(i, i % 2) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    views = cotrain.trained(docs, labels)
+    free = cotrain.slots([f"own{i}x" for i in range(300, 1800)], cotrain.WIDTH)
+    assert (views.text[free] != 0).mean() > 0.95
