@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bitslice, bpe, bwt, cotrain, crf, huffman, jaccard, media, rendezvous, vector_packing
+from tallyloom.llm import bitslice, bpe, bwt, cotrain, crf, huffman, jaccard, media, rendezvous, spelling, vector_packing
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -65,12 +65,16 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
+def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
         op5_bwt_repeats, op6_bit_sliced_top_k, op7_crf_toxicity, op8_cotrained_quality,
-        op9_media_columns, op10_segment_tree_bpe,
+        op9_media_columns, op10_segment_tree_bpe, op11_spelling_trie,
     )
 }
 SQL: dict[str, str] = {
@@ -131,4 +135,58 @@ SQL: dict[str, str] = {
         FROM s
         QUALIFY rank <= 10
     """,
+    "op11_spelling_trie": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce(
+                range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n
+            ) ORDER BY n) AS t
+            FROM range(256) AS r(n)
+        ), runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS k,
+                unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')) AS raw
+            FROM documents
+        ), lowered AS (
+            SELECT k, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+            FROM runs GROUP BY ALL
+        ), hashed AS (
+            SELECT run, times, xor(4294967295, list_reduce(
+                list_transform(
+                    range(octet_length(encode(k || ':' || run))),
+                    lambda i: CAST('0x' || substring(hex(encode(k || ':' || run)), 2 * i + 1, 2) AS BIGINT)
+                ),
+                lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1]), 4294967295
+            )) AS h
+            FROM lowered, crc_table
+        ), typed AS (
+            SELECT times, CASE WHEN h % 97 = 0
+                THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2)
+                ELSE run END AS word
+            FROM hashed
+        ), words AS (
+            SELECT word, CAST(sum(times) AS BIGINT) AS n FROM typed
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+        ), shorter AS (
+            SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+            FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS near FROM shorter AS a JOIN shorter AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, a.rest FROM shorter AS a JOIN words AS w ON a.rest = w.word
+            UNION SELECT a.rest, a.word FROM shorter AS a JOIN words AS w ON a.rest = w.word
+        ), ranked AS (
+            SELECT x.word, x.near, w.n AS near_n, count(*) OVER (PARTITION BY x.word) AS n_near,
+                row_number() OVER (PARTITION BY x.word ORDER BY w.n DESC, encode(x.near)) AS place
+            FROM near AS x JOIN words AS w ON x.near = w.word
+        ), told AS (
+            SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+                CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form,
+                CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n
+            FROM words AS w LEFT JOIN ranked AS r ON w.word = r.word AND r.place = 1
+        ), chain AS (
+            SELECT word, word AS at FROM told
+            UNION ALL SELECT c.word, t.form FROM chain AS c JOIN told AS t ON c.at = t.word WHERE t.form IS NOT NULL
+        )
+        SELECT t.word, t.form, c.at AS root, t.n, t.n_near, t.form_n
+        FROM told AS t JOIN chain AS c USING (word) JOIN told AS l ON l.word = c.at
+        WHERE l.form IS NULL
+    """,
 }
