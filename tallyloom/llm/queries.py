@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bitslice, bpe, bwt, cotrain, crf, huffman, jaccard, media, rendezvous, spelling, vector_packing
+from tallyloom.llm import (
+    bitslice, bpe, bwt, cotrain, credentials, crf, dualtree, huffman, jaccard, media, rendezvous, spelling,
+    vector_packing,
+)
 from tallyloom.sources.workspace import new_table_path
 
 WORDS = "word_bpe_49k.json"
@@ -69,12 +72,60 @@ def op11_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_credential_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(credentials.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.code_digest(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Codes by comparing every part with every entry, round after round."""
+    nearest = """
+        SELECT v.rid, v.part, arg_min(struct_pack(e := b.entry, x := v.x), [
+            list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry
+        ]) AS hit,
+        min(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS error
+        FROM part_rows AS v JOIN {books} AS b ON v.part = b.part GROUP BY v.rid, v.part
+    """
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""near{i} AS ({nearest.format(books=f"book{i}")}), sum{i} AS (
+            SELECT part, hit.e AS entry, i, CAST(floor(sum(hit.x[i + 1]) / count(*)) AS BIGINT) AS mean
+            FROM near{i}, range(16) AS r(i) GROUP BY ALL
+        ), mean{i} AS (SELECT part, entry, list(mean ORDER BY i) AS x FROM sum{i} GROUP BY ALL
+        ), book{i + 1} AS (
+            SELECT part, entry, coalesce(m.x, b.x) AS x FROM book{i} AS b LEFT JOIN mean{i} AS m USING (part, entry)
+        )""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid,
+                list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), part_rows AS (
+            SELECT rid, part, q[16 * part + 1:16 * part + 16] AS x FROM kept, range(4) AS p(part)
+        ), book0 AS (
+            SELECT part, rid - 1 AS entry, x FROM part_rows WHERE rid <= 256
+        ), {", ".join(steps)}, final AS ({nearest.format(books=f"book{rounds}")}), coded AS (
+            SELECT k.vec_id, k.label, string_agg(lower(lpad(hex(CAST(hit.e AS BIGINT)), 2, '0')), '' ORDER BY part) AS code,
+                CAST(sum(f.error) AS BIGINT) AS error
+            FROM final AS f JOIN kept AS k USING (rid) GROUP BY k.rid, k.vec_id, k.label
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_huffman_token_files, op2_rendezvous_shards, op3_vector_packing, op4_jaccard_join,
         op5_bwt_repeats, op6_bit_sliced_top_k, op7_crf_toxicity, op8_cotrained_quality,
         op9_media_columns, op10_segment_tree_bpe, op11_spelling_trie,
+        op12_credential_automata, op13_dual_tree_codes,
     )
 }
 SQL: dict[str, str] = {
@@ -189,4 +240,5 @@ SQL: dict[str, str] = {
         FROM told AS t JOIN chain AS c USING (word) JOIN told AS l ON l.word = c.at
         WHERE l.form IS NULL
     """,
+    "op13_dual_tree_codes": _lloyd_sql(),
 }
