@@ -242,10 +242,11 @@ def _round(books: list[list[list[int]]], width: int) -> Callable:
     """Counts and sums of every entry over all blocks of a task; component -1 is the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Codebook(book) for book in books]
+        made: list[Codebook] = []
         counts = [np.zeros(len(book), np.int64) for book in books]
         sums = [np.zeros((len(book), width), object) for book in books]
         for batch in batches:
+            made = made or [Codebook(book) for book in books]
             for cells in batch.column("points"):
                 for part, tree in enumerate(_trees(cells.as_py(), width)):
                     block = np.zeros(sums[part].shape, tree.points.dtype)
@@ -269,8 +270,9 @@ def _code(books: list[list[list[int]]], width: int) -> Callable:
     """Code and error of every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Codebook(book) for book in books]
+        made: list[Codebook] = []
         for batch in batches:
+            made = made or [Codebook(book) for book in books]
             for i in range(batch.num_rows):
                 ids, labels = batch.column("ids")[i].values, batch.column("labels")[i].values
                 codes, errors = np.zeros((len(ids), len(made)), np.uint8), np.zeros(len(ids), object)
