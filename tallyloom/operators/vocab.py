@@ -1,9 +1,24 @@
-"""Byte-pair vocabulary training as counting jobs."""
+"""Byte-pair vocabulary training and encoding as counting jobs over distinct pieces.
+
+Training goes in rounds. A round counts all adjacent pairs on the cluster and takes those above
+some count, the *floor*. Where neither an old nor a later pair of a text can exceed the floor,
+that text is cut; what is left are *chains*, whose weights are added up over all pieces. A
+pair that merges make is at most as frequent as the old pair at its junction, so every
+occurrence of every pair above the floor, old or new, lies inside a chain: the chains
+alone tell the order of all merges down to the floor. Their number is checked; the floor is raised
+until there are at most ``CHAINS``, and the driver follows the merges on them. Then all
+pieces take these merges in one pass and are written, which cuts the lineage. A vocabulary of
+16,000 ids takes some tens of rounds instead of one for each merge.
+"""
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +55,15 @@ def first_ids() -> dict[int, int]:
     return {b: len(SPECIAL_TOKENS) + i for i, b in enumerate(ranked)}
 
 
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?U)" + PIECE), F.lit(0))
+
+
 def piece_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """How often each piece occurs; counts are added up before the shuffle."""
-    pieces = F.regexp_extract_all(F.col("_t"), F.lit("(?U)" + PIECE), F.lit(0))
     return (
         texts.select(composed(F.col(text)).alias("_t"))
-        .select(F.explode(pieces).alias("piece"))
+        .select(F.explode(_pieces(F.col("_t"))).alias("piece"))
         .groupBy("piece")
         .agg(F.count("*").alias("n"))
     )
@@ -80,34 +98,139 @@ def _pairs(symbols: Column) -> Column:
     )
 
 
-def _exact_batch(top: list) -> list:
-    """Leading pairs whose joint merge equals merging them one by one.
+#: Most pairs and chains the driver looks at in a round.
+TOP = 1 << 14
+CHAINS = 1 << 16
+#: Chains a task counts before it hands them on.
+HELD = 1 << 16
+
+
+def joined_symbols(symbols: str, ranks: dict[str, tuple[int, str]]) -> str:
+    """Merge the pair of lowest rank, leftmost first, until no pair has one."""
+    waiting = [(*ranks[symbols[i : i + 2]], i) for i in range(len(symbols) - 1) if symbols[i : i + 2] in ranks]
+    if not waiting:
+        return symbols
+    heapq.heapify(waiting)
+    at = list(symbols)
+    after, before = list(range(1, len(at) + 1)), list(range(-1, len(at) - 1))
+    while waiting:
+        _, new, i = heapq.heappop(waiting)
+        j = after[i] if at[i] else len(at)
+        if j == len(at) or ranks.get(at[i] + at[j], (0, ""))[1] != new:
+            continue
+        at[i], at[j] = new, ""
+        after[i] = after[j]
+        if after[i] < len(at):
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < len(at):
+                found = ranks.get(at[k] + at[after[k]])
+                if found:
+                    heapq.heappush(waiting, (*found, k))
+    return "".join(at)
+
+
+def with_merges(words: DataFrame, learned: list[tuple[int, int, int, int]]) -> DataFrame:
+    """The symbols ``s`` of all pieces after some merges; pieces are not moved."""
+    ranks = {symbol(a) + symbol(b): (i, symbol(new)) for i, (a, b, new, _) in enumerate(learned)}
+    place = words.columns.index("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [joined_symbols(x, ranks) for x in batch.column(place).to_pylist()]
+            columns = list(batch.columns)
+            columns[place] = pa.array(joined, batch.schema.types[place])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return words.mapInArrow(run, words.schema)
+
+
+def chains_of(symbols: str, pairs: set[str]) -> Iterator[str]:
+    """Longest runs of symbols whose adjacent pairs are all among ``pairs``."""
+    start = 0
+    for i in range(1, len(symbols) + 1):
+        if i == len(symbols) or symbols[i - 1 : i + 1] not in pairs:
+            if i - start > 1:
+                yield symbols[start:i]
+            start = i
+
+
+def _counted_chains(pairs: set[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["chain", "n"])
+
+        for batch in batches:
+            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for chain in chains_of(symbols, pairs):
+                    counts[chain] += n
+            if len(counts) > HELD:
+                yield out()
+        yield out()
+
+    return run
+
+
+def pair_counts(words: DataFrame, min_count: int = 1) -> DataFrame:
+    """How often each adjacent pair of symbols occurs in all pieces."""
+    return (
+        words.select("n", F.explode(_pairs(F.col("s"))).alias("pair"))
+        .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    )
+
+
+def followed_merges(chains: Iterable[tuple[str, int]], floor: int, most: int, next_id: int) -> list[tuple[int, int, int, int]]:
+    """Merges by falling count over weighted chains, as long as the best count exceeds ``floor``.
 
-    Pairs without a common symbol leave each other's counts alone. A merge can create
-    pairs no more frequent than the best pair that overlaps the batch, so only pairs
-    strictly above that one may follow the first.
+    A merge changes the counts of its chains only; equal counts go to the smaller ids.
     """
-    used: set[int] = set()
-    batch, limit = [], 0
-    for row in top:
-        if used & {row["a"], row["b"]}:
-            limit = row["n"]
-            break
-        used |= {row["a"], row["b"]}
-        batch.append(row)
-    else:
-        limit = top[-1]["n"] if top else 0
-    return [r for i, r in enumerate(batch) if i == 0 or r["n"] > limit]
+    words, weights = map(list, zip(*chains, strict=True))
+    counts: dict[str, int] = defaultdict(int)
+    where: dict[str, set[int]] = defaultdict(set)
+    for i, word in enumerate(words):
+        for k in range(len(word) - 1):
+            counts[word[k : k + 2]] += weights[i]
+            where[word[k : k + 2]].add(i)
+    waiting = [(-n, pair) for pair, n in counts.items() if n > floor]
+    heapq.heapify(waiting)
+    learned: list[tuple[int, int, int, int]] = []
+    while waiting and len(learned) < most:
+        minus, pair = heapq.heappop(waiting)
+        if counts.get(pair) != -minus:
+            continue
+        new = symbol(next_id)
+        learned.append((token_id(pair[0]), token_id(pair[1]), next_id, -minus))
+        next_id += 1
+        changed: dict[str, int] = defaultdict(int)
+        for i in where.pop(pair):
+            old, weight = words[i], weights[i]
+            words[i] = now = old.replace(pair, new)
+            for k in range(len(old) - 1):
+                changed[old[k : k + 2]] -= weight
+            for k in range(len(now) - 1):
+                changed[now[k : k + 2]] += weight
+                if new in now[k : k + 2]:
+                    where[now[k : k + 2]].add(i)
+        for touched, by in changed.items():
+            if by:
+                counts[touched] += by
+                if counts[touched] > floor:
+                    heapq.heappush(waiting, (-counts[touched], touched))
+    return learned
 
 
 def learned_merges(
-    counts: DataFrame, merges: int, min_count: int = 2
+    counts: DataFrame, merges: int, min_count: int = 2, chains: int = CHAINS
 ) -> list[tuple[int, int, int, int]]:
     """Merges as (left id, right id, new id, count), most frequent pair first.
 
     Only distinct pieces are kept between rounds, pinned so that a lost executor never
-    replays earlier rounds. Each round counts all pairs on the cluster and brings back
-    the few best ones. Equal counts go to the smaller ids.
+    replays earlier rounds. Equal counts go to the smaller ids. Where one pair alone has more than
+    ``chains`` chains, or the best pairs are all equally frequent, a round learns one merge.
     """
     spread = counts.sparkSession.sparkContext.defaultParallelism
     words = pin(
@@ -118,29 +241,66 @@ def learned_merges(
     )
     next_id = len(SPECIAL_TOKENS) + 256
     learned: list[tuple[int, int, int, int]] = []
+    width = TOP
     while len(learned) < merges:
-        best = (
-            words.select("n", F.explode(_pairs(F.col("s"))).alias("pair"))
-            .groupBy("pair")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min_count)
-            .orderBy(F.desc("n"), "pair")
-            .limit(64)
-            .collect()
-        )
-        top = [{"a": token_id(r["pair"][0]), "b": token_id(r["pair"][1]), "n": r["n"]} for r in best]
+        top = [(r["pair"], r["n"]) for r in pair_counts(words, min_count).orderBy(F.desc("n"), "pair").limit(TOP).collect()]
         if not top:
             break
-        joined = F.col("s")
-        for row in _exact_batch(top)[: merges - len(learned)]:
-            a, b = row["a"], row["b"]
-            learned.append((a, b, next_id, row["n"]))
-            joined = F.replace(joined, F.lit(symbol(a) + symbol(b)), F.lit(symbol(next_id)))
-            next_id += 1
-        words = pin(words.select(joined.alias("s"), "n").filter(F.char_length("s") > 1))
+        new: list[tuple[int, int, int, int]] = []
+        width = min(2 * width, TOP)
+        while not new:
+            # Pairs beyond those looked at are at most as frequent as the floor.
+            floor = top[width][1] if width < len(top) else top[-1][1] if len(top) == TOP else min_count - 1
+            above = {pair for pair, n in top if n > floor}
+            if not above:
+                (pair, n) = top[0]
+                new = [(token_id(pair[0]), token_id(pair[1]), next_id, n)]
+                break
+            found = words.mapInArrow(_counted_chains(above), "chain string, n long")
+            rows = found.groupBy("chain").agg(F.sum("n").alias("n")).limit(chains + 1).collect()
+            if len(rows) <= chains:
+                new = followed_merges([(r["chain"], r["n"]) for r in rows], floor, merges - len(learned), next_id)
+            else:
+                width //= 4
+        learned += new
+        next_id += len(new)
+        if len(learned) < merges:
+            words = pin(with_merges(words, new).filter(F.char_length("s") > 1))
     return learned
 
 
+def piece_lengths(counts: DataFrame, learned: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``piece``, ``n``, ``s`` (one symbol a token) and ``n_tokens`` of every distinct piece."""
+    symbols = counts.select("piece", "n", _byte_symbols(F.col("piece")).alias("s"))
+    return with_merges(symbols, learned).withColumn("n_tokens", F.char_length("s"))
+
+
+#: Frequent pieces that are sent to all tasks, so that no join meets a hot piece.
+FREQUENT = 20_000
+
+
+def token_counts(texts: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``n_tokens`` of every text, by adding up its pieces; keys are taken as unique.
+
+    Occurrences of the ``FREQUENT`` most frequent pieces are added where they are. The others are counted by text
+    first, then joined.
+    """
+    frequent = F.broadcast(
+        pieces.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", F.col("n_tokens").alias("known"))
+    )
+    occurring = texts.select(F.col(key), F.explode_outer(_pieces(composed(F.col(text)))).alias("piece"))
+    rare = F.when(F.col("known").isNull(), F.col("piece")).alias("rare")
+    summed = pin(
+        occurring.join(frequent, "piece", "left").groupBy(F.col(key), rare)
+        .agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("times"))
+    )
+    joined = summed.filter("rare IS NOT NULL").join(pieces.select(F.col("piece").alias("rare"), F.col("n_tokens").alias("each")), "rare")
+    parts = summed.filter("rare IS NULL").select(key, "n_tokens").unionByName(
+        joined.select(key, (F.col("times") * F.col("each")).alias("n_tokens"))
+    )
+    return parts.groupBy(key).agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
+
+
 def spelled(learned: list[tuple[int, int, int, int]]) -> list[tuple[str, str, int]]:
     """Merges with both sides spelled in byte stand-ins, and their counts."""
     letters = byte_alphabet()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scorer import mapped_batches, scored
-from tallyloom.functions.tokens import subword_ids
 from tallyloom.operators import vocab as V
 from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources.workspace import pin
 
-MERGES = 24
+VOCABULARY = 16_000
+MERGES = VOCABULARY - 256 - len(V.SPECIAL_TOKENS)
 
 
 def _counts(spark, sf_dir):
@@ -20,6 +20,7 @@ def _counts(spark, sf_dir):
 
 @query("vocabulary_merges")
 def vocabulary_merges(spark, sf_dir):
+    """All merges of a vocabulary of 16,000 ids (fewer where no pair occurs twice)."""
     counts = _counts(spark, sf_dir)
     return V.merge_table(counts, V.learned_merges(counts, MERGES))
 
@@ -27,9 +28,10 @@ def vocabulary_merges(spark, sf_dir):
 @query("subword_lengths")
 def subword_lengths(spark, sf_dir):
     """Subword count of every document under a vocabulary learned from all of them."""
-    tokenizer = V.tokenizer_json(V.learned_merges(_counts(spark, sf_dir), MERGES))
+    learned = V.learned_merges(_counts(spark, sf_dir), MERGES)
     docs = texts(spark, sf_dir).filter(F.col("text") != "")
-    return docs.select("doc_id", F.size(subword_ids(F.col("text"), tokenizer)).alias("n_tokens"))
+    pieces = pin(V.piece_lengths(pin(V.piece_counts(docs)), learned))
+    return V.token_counts(docs, pieces)
 
 
 @query(
