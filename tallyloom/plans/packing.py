@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import tokens as K
-from tallyloom.operators import packing
+from tallyloom.operators import packing, windows
 from tallyloom.operators.ordered import totals_by_key, totals_by_sort
 from tallyloom.plans.corpus import (
     COUNTED_SQL,
@@ -16,7 +17,7 @@ from tallyloom.plans.corpus import (
 )
 from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources import shards
-from tallyloom.sources.workspace import new_table_path
+from tallyloom.sources.workspace import new_table_path, pin
 
 SHARD_TOKENS = 5000
 WINDOW = 512
@@ -268,7 +269,8 @@ def shard_totals(pieces):
     )
 
 
-def chat_pieces(spark, sf_dir):
+def chat_ids(spark, sf_dir):
+    """Chat turns with their place in the stream, ids and loss mask."""
     placed = packed_chat_turns(spark, sf_dir)
     pieces = K.chat_turn_pieces(F.col("role"), F.col("text"))
     closing_id = F.when(F.col("closing") == 1, F.array(F.lit(K.EOS_ID))).otherwise(
@@ -277,9 +279,136 @@ def chat_pieces(spark, sf_dir):
     closing_mask = F.when(F.col("closing") == 1, F.array(F.lit(0))).otherwise(
         F.array().cast("array<int>")
     )
-    rows = placed.withColumn("_pieces", pieces).select(
+    return placed.withColumn("_pieces", pieces).select(
         "conv_id", "before", "n_tokens",
         F.concat(K.piece_ids(F.col("_pieces")), closing_id).alias("ids"),
         F.concat(K.piece_mask(F.col("_pieces")), closing_mask).alias("mask"),
     )
-    return packing.split_by_size(rows, 5000, "shard_id", arrays=("ids", "mask"))
+
+
+def chat_pieces(spark, sf_dir):
+    return packing.split_by_size(chat_ids(spark, sf_dir), 5000, "shard_id", arrays=("ids", "mask"))
+
+
+STORED_TOKENS = 20_000
+RUN = 8192
+
+
+def stored_ids(spark, sf_dir):
+    """Where the ids of all documents were stored, in shards of 20,000."""
+    path = new_table_path(spark, "token-shards")
+    windows.write_token_shards(streamed_ids(spark, sf_dir), path, STORED_TOKENS, RUN)
+    return path
+
+
+def _md5(name):
+    return F.md5(F.array_join(name, ",").cast("binary")).alias(f"{name}_md5")
+
+
+IDS_SQL = """array_to_string(list_transform(string_split(body, ''), lambda c: CASE WHEN c = chr(1) THEN 1 ELSE 2 + unicode(c) % 30 END), ',')"""
+
+
+@query(
+    "stored_token_shards",
+    f"""WITH {CHARS_SQL}, pieces AS (SELECT unnest(range(before // 20000, (before + n_tokens - 1) // 20000 + 1)) AS shard_id, text || chr(1) AS t, before, n_tokens FROM chars),
+    joined AS (SELECT shard_id, string_agg(t[greatest(shard_id * 20000 - before, 0) + 1 : least((shard_id + 1) * 20000 - before, n_tokens)], '' ORDER BY before) AS body FROM pieces GROUP BY 1)
+    SELECT shard_id, shard_id * 20000 AS first, length(body) AS tokens, md5({IDS_SQL}) AS ids_md5 FROM joined""",
+)
+def stored_token_shards(spark, sf_dir):
+    """The index of the stored shards next to the ids read back from them."""
+    path = stored_ids(spark, sf_dir)
+    found = windows.stored_runs(spark, path).groupBy("shard_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "ids"))), lambda r: r["ids"])).alias("ids")
+    )
+    index = windows.shard_index(spark, path).select("shard_id", "first", "tokens")
+    return index.join(found.select("shard_id", _md5("ids")), "shard_id")
+
+
+@query("stored_token_windows", f"WITH {CHARS_SQL}, {WINDOW_SQL} SELECT * FROM windows")
+def stored_token_windows(spark, sf_dir):
+    """All windows, cut from the stored runs."""
+    path = stored_ids(spark, sf_dir)
+    return windows.windows_of(windows.stored_runs(spark, path), WINDOW).select("window_id", _md5("ids"))
+
+
+@query(
+    "windows_by_offset",
+    f"WITH {CHARS_SQL}, {WINDOW_SQL} SELECT * FROM windows WHERE window_id IN (SELECT doc_id * 3 FROM documents)",
+)
+def windows_by_offset(spark, sf_dir):
+    """Listed windows, each read from the one or two runs that hold it."""
+    wanted = table(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("window_id"))
+    return windows.windows_at(spark, stored_ids(spark, sf_dir), wanted, WINDOW).select("window_id", _md5("ids"))
+
+
+@query(
+    "stored_tail_windows",
+    f"WITH {CHARS_SQL}, {WINDOW_SQL}, total AS (SELECT sum(n_tokens)::BIGINT // 512 AS n FROM chars) SELECT windows.* FROM windows, total WHERE window_id >= n - 40",
+)
+def stored_tail_windows(spark, sf_dir):
+    """The held-out tail, of which only the last shards are read."""
+    path = stored_ids(spark, sf_dir)
+    total = windows.shard_index(spark, path).agg(F.sum("tokens")).first()[0] // WINDOW
+    return windows.windows_between(spark, path, total - 40, total, WINDOW).select("window_id", _md5("ids"))
+
+
+@query(
+    "chat_windows",
+    f"""WITH {CHAT_SQL}, said AS (SELECT before, n_tokens,
+      '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) || CASE WHEN turn = last_turn THEN chr(1) ELSE '' END AS t,
+      repeat('0', 13 + length(role)) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, length(text)) || repeat('0', 11 + CASE WHEN turn = last_turn THEN 1 ELSE 0 END) AS m
+      FROM placed JOIN kept USING (conv_id)),
+    pieces AS (SELECT *, unnest(range(before // 512, (before + n_tokens - 1) // 512 + 1)) AS window_id FROM said),
+    cut AS (SELECT window_id, before, greatest(window_id * 512 - before, 0) + 1 AS a, least((window_id + 1) * 512 - before, n_tokens) AS b, t, m FROM pieces),
+    joined AS (SELECT window_id, string_agg(t[a:b], '' ORDER BY before) AS body, string_agg(m[a:b], '' ORDER BY before) AS marks FROM cut GROUP BY 1)
+    SELECT window_id, md5({IDS_SQL}) AS ids_md5, md5(array_to_string(string_split(marks, ''), ',')) AS mask_md5,
+      length(replace(marks, '0', '')) AS loss_tokens FROM joined WHERE length(body) = 512""",
+)
+def chat_windows(spark, sf_dir):
+    """Windows of stored chat shards; the loss mask goes along over the edges of turns and shards."""
+    path = new_table_path(spark, "chat-token-shards")
+    windows.write_token_shards(chat_ids(spark, sf_dir), path, 5000, 2048, ("ids", "mask"))
+    found = windows.windows_of(windows.stored_runs(spark, path, ("ids", "mask")), WINDOW, ("ids", "mask"))
+    loss = F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("loss_tokens")
+    return found.select("window_id", _md5("ids"), _md5("mask"), loss)
+
+
+SHARES_SQL = f"""{CHARS_SQL}, cells AS (SELECT source, unnest(range(before // 512, (before + n_tokens - 1) // 512 + 1)) AS window_id, before, n_tokens FROM chars),
+held AS (SELECT window_id, source, sum(least(before + n_tokens, (window_id + 1) * 512) - greatest(before, window_id * 512))::BIGINT AS tokens FROM cells GROUP BY ALL),
+targets AS (SELECT source, row_number() OVER (ORDER BY source) AS target FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+now AS (SELECT source, sum(tokens)::HUGEINT AS tokens FROM held GROUP BY 1),
+factors AS (SELECT n.source, coalesce(t.target, 0)::HUGEINT * (SELECT sum(tokens)::HUGEINT FROM now) * 1000000
+  // ((SELECT sum(target)::HUGEINT FROM targets JOIN now USING (source)) * n.tokens) AS factor FROM now n LEFT JOIN targets t USING (source)),
+weights AS (SELECT window_id, sum(tokens * factor)::HUGEINT AS weight FROM held JOIN factors USING (source) GROUP BY 1),
+ran AS (SELECT window_id, weight, sum(weight) OVER (ORDER BY window_id)::HUGEINT AS upto, sum(weight) OVER ()::HUGEINT AS total FROM weights),
+drawn AS (SELECT window_id, (upto * 3000 + total // 4) // total - ((upto - weight) * 3000 + total // 4) // total AS copies FROM ran)"""
+DRAWS = 3000
+
+
+def _drawn(spark, sf_dir):
+    docs = texts(spark, sf_dir).filter(F.col("text") != "")
+    rows = docs.select("doc_id", "source", (F.char_length("text") + 1).cast("long").alias("n_tokens"))
+    held = pin(windows.window_sources(totals_by_key(rows, {"before": F.col("n_tokens")}, "doc_id"), WINDOW))
+    sources = table(spark, sf_dir, "documents").select("source").filter("source IS NOT NULL").distinct()
+    by_name = W.orderBy("source")
+    targets = sources.select("source", F.row_number().over(by_name).cast("long").alias("target"))
+    return held, windows.resampled(pin(windows.window_weights(held, targets)), DRAWS, 0.25)
+
+
+@query("reweighted_windows", f"WITH {SHARES_SQL} SELECT window_id, copies::BIGINT AS copies FROM drawn WHERE copies > 0")
+def reweighted_windows(spark, sf_dir):
+    """How often each window is drawn for the sources to come in wanted shares."""
+    return _drawn(spark, sf_dir)[1]
+
+
+@query(
+    "reweighted_shares",
+    f"""WITH {SHARES_SQL} SELECT source, sum(tokens)::BIGINT AS tokens, sum(tokens * coalesce(copies, 0))::BIGINT AS drawn_tokens
+    FROM held LEFT JOIN drawn USING (window_id) GROUP BY 1""",
+)
+def reweighted_shares(spark, sf_dir):
+    held, drawn = _drawn(spark, sf_dir)
+    both = held.join(drawn, "window_id", "left").fillna(0, ["copies"])
+    return both.groupBy("source").agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens")
+    )
