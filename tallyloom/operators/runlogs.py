@@ -21,31 +21,33 @@ STAGES = {
 SMALLEST_LOSS = 0.001
 
 
+#: Numbers of lines in one chunk of a log file's blocks, about as many bytes of it.
+BLOCK_CHUNK = 1 << 26
+
+
 def log_lines(files: DataFrame) -> DataFrame:
-    """Numbered lines of whole log texts; a carriage return ends a line too."""
+    """Numbered lines of short log texts; a carriage return ends a line too."""
     lines = F.split(F.translate("content", "\r", "\n"), "\n")
     return files.select("file", F.posexplode(lines).alias("line_no", "line"))
 
 
-def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
-    """First loss of each step in each stage of a log file.
-
-    The stage named last before a line is the line's stage; lines before any stage
-    are dropped. Lines are parsed once; only those that name a stage or a loss are kept.
-    """
+def _marked(lines: DataFrame, *keep: str) -> DataFrame:
+    """The lines that name a stage or a loss, parsed."""
     stage = F.lit(None).cast("string")
     for name, pattern in reversed(list(STAGES.items())):
         stage = F.when(F.col("line").rlike(pattern), name).otherwise(stage)
     part = lambda i: F.regexp_extract("line", LOSS_LINE, i)
     parsed = lines.select(
-        "file",
-        "line_no",
+        *keep,
         stage.alias("named"),
         part(1).try_cast("long").alias("step"),
         part(2).try_cast("double").alias("loss"),
         part(3).try_cast("double").alias("lr"),
     )
-    marked = pin(parsed.filter(F.col("named").isNotNull() | F.col("step").isNotNull()))
+    return pin(parsed.filter(F.col("named").isNotNull() | F.col("step").isNotNull()))
+
+
+def _first_losses(marked: DataFrame, width: int) -> DataFrame:
     staged = carry_forward(marked, "named", "line_no", ["file"], "stage", width)
     usable = staged.filter(
         F.col("stage").isNotNull() & F.col("step").isNotNull() & (F.col("loss") > SMALLEST_LOSS)
@@ -57,6 +59,29 @@ def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     )
 
 
+def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
+    """First loss of each step in each stage of a log file.
+
+    The stage named last before a line is the line's stage; lines before any stage
+    are dropped. Lines are parsed once; only those that name a stage or a loss are kept.
+    """
+    return _first_losses(_marked(lines, "file", "line_no"), width)
+
+
+def block_loss_points(lines: DataFrame, width: int = BLOCK_CHUNK) -> DataFrame:
+    """``loss_points`` of lines that were read in blocks (``file``, ``block``, ``place``, ``line``).
+
+    Only parsed lines are kept and numbered: a block of n bytes has at most n + 1 lines, so twice its start plus
+    the place after its first kept line is in file order. The stage goes on over the edges of blocks.
+    """
+    marked = _marked(lines, "file", "block", "place")
+    begins = marked.groupBy("file", "block").agg(F.min("place").alias("_begin"))
+    numbered = marked.join(begins, ["file", "block"]).select(
+        "file", (2 * F.col("block") + F.col("place") - F.col("_begin")).alias("line_no"), "named", "step", "loss", "lr"
+    )
+    return _first_losses(numbered, width)
+
+
 def smoothed(points: DataFrame, window: int = 10) -> DataFrame:
     """Trailing mean of the losses in step order; the first ``window - 1`` stay raw."""
     groups = ["file", "stage"]

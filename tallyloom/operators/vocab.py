@@ -301,6 +301,34 @@ def token_counts(texts: DataFrame, pieces: DataFrame, key: str = "doc_id", text:
     return parts.groupBy(key).agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
 
 
+def symbol_ids(symbols: Column) -> Column:
+    """The token ids behind a piece's symbols."""
+    code = lambda c: F.ascii(c)
+    ids = F.transform(F.split(symbols, ""), lambda c: F.when(code(c) < 0xD800, code(c)).otherwise(code(c) - 0x800) - 0x100)
+    return F.when(symbols == "", F.array().cast("array<int>")).otherwise(ids.cast("array<int>"))
+
+
+def token_ids(
+    texts: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text", eos: int | None = None
+) -> DataFrame:
+    """``key``, ``ids`` and ``n_tokens`` of every text, in order, with ``eos`` at the end; keys are taken as unique.
+
+    Frequent pieces get their ids where they occur, the others by a join. A group holds the pieces of one
+    text.
+    """
+    known = pieces.select("piece", "n", symbol_ids(F.col("s")).alias("found"))
+    frequent = F.broadcast(known.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", F.col("found").alias("near")))
+    occurring = texts.select(F.col(key), F.posexplode_outer(_pieces(composed(F.col(text)))).alias("place", "piece"))
+    met = occurring.join(frequent, "piece", "left")
+    here = met.filter(F.col("near").isNotNull() | F.col("piece").isNull()).select(key, "place", F.col("near").alias("found"))
+    rare = met.filter(F.col("near").isNull() & F.col("piece").isNotNull()).join(known.drop("n"), "piece").select(key, "place", "found")
+    parts = F.array_sort(F.collect_list(F.struct("place", "found")))
+    ids = F.flatten(F.filter(F.transform(parts, lambda p: p["found"]), lambda f: f.isNotNull()))
+    if eos is not None:
+        ids = F.concat(ids, F.array(F.lit(eos)))
+    return here.unionByName(rare).groupBy(key).agg(ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 def spelled(learned: list[tuple[int, int, int, int]]) -> list[tuple[str, str, int]]:
     """Merges with both sides spelled in byte stand-ins, and their counts."""
     letters = byte_alphabet()

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import vocab as V
 from tallyloom.plans.corpus import COUNTED_SQL
 from tallyloom.plans.packing import SHARD_TOKENS, aligned_sql
 from tallyloom.plans.registry import query, table
 from tallyloom.sources.records import append_metrics
-from tallyloom.sources.workspace import new_table_path
+from tallyloom.sources.workspace import new_table_path, pin
 from tallyloom.streaming import jobs
 
+STREAM_MERGES = 2000
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -43,6 +45,22 @@ def streamed_shards(spark, sf_dir):
     return jobs.packed_arrivals(spark, folder).select("doc_id", "source", "n_tokens", "shard_id")
 
 
+@query("streamed_token_ids")
+def streamed_token_ids(spark, sf_dir):
+    """Documents arrive in two halves and become subword ids in shards that stay open."""
+    landing, folder = new_table_path(spark, "landing"), new_table_path(spark, "tokenised")
+    docs = table(spark, sf_dir, "documents")
+    merges = V.learned_merges(pin(V.piece_counts(docs.filter(F.char_length("text") >= 16))), STREAM_MERGES)
+    middle = docs.agg(F.floor(F.avg("doc_id"))).first()[0]
+    for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        docs.filter(half).write.mode("append").parquet(landing)
+        jobs.tokenise_arrivals(jobs.arrivals(spark, landing, DOCUMENTS), folder, merges, SHARD_TOKENS)
+    found = jobs.tokenised_arrivals(spark, folder)
+    return found.select(
+        "doc_id", "source", "n_tokens", "shard_id", F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5")
+    )
+
+
 @query(
     "followed_metrics",
     "SELECT event_type AS phase, max(event_id) AS step, arg_max(value, event_id) AS loss, count(*) AS records FROM events GROUP BY 1",

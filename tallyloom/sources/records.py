@@ -30,12 +30,19 @@ def read_checkpoint_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHECKPOINT_SCHEMA).option("header", True).csv(path)
 
 
-def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole log files with their path."""
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files of any size: ``file``, ``block``, ``place``, ``line``.
+
+    Large files are read in blocks by many tasks. ``block`` is where a line's block starts in its file, ``place``
+    rises with the lines of a block (and means nothing across blocks). Line feeds and carriage
+    returns both end a line, also next to the edge of a block.
+    """
     return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path, wholetext=True)
-        .select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+        spark.read.option("recursiveFileLookup", True).text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+        )
     )
 
 

@@ -6,8 +6,9 @@ last one stopped, and its settings next to it, so that a changed run is refused.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallyloom.functions.tokens import word_count
+from tallyloom.operators import vocab
 from tallyloom.operators.packing import OpenShard, append_aligned
 from tallyloom.operators.rollup import latest_results
 from tallyloom.sources.records import METRIC_SCHEMA
@@ -97,6 +99,69 @@ def pack_arrivals(stream: DataFrame, folder: str, shard_size: int) -> None:
     _run(counted.writeStream.foreachBatch(pack), f"{folder}/progress")
 
 
+PIECES = "piece string, n long, s string, n_tokens int"
+
+
+def _known_pieces(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """Pieces that the batches before this one encoded."""
+    try:
+        return spark.read.schema(f"{PIECES}, batch long").parquet(f"{folder}/pieces").filter(F.col("batch") < batch_id).drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], PIECES)
+
+
+def tokenise_arrivals(
+    stream: DataFrame,
+    folder: str,
+    merges: Sequence[tuple[int, int, int, int]],
+    shard_size: int,
+    mix: Mapping[str, float] | None = None,
+    eos: int = 0,
+) -> None:
+    """Turn arriving texts into subword ids and pack them behind those packed before.
+
+    Every distinct piece is encoded once: a batch takes the pieces it has not met from the table of known ones,
+    encodes the rest and adds them under its own number. Another tokenizer, mix, id type or shard
+    size than the folder was begun with is refused. ``mix`` names the sources that are taken; null takes all.
+    """
+    spark = stream.sparkSession
+    fingerprint = hashlib.sha256(json.dumps([list(m) for m in merges]).encode()).hexdigest()
+    check_settings(
+        spark, folder,
+        {"shard_size": shard_size, "tokenizer": fingerprint, "mix": dict(mix) if mix else None, "ids": "int", "eos": eos},
+    )
+    taken = stream.filter(F.col("text") != "")
+    if mix:
+        taken = taken.filter(F.col("source").isin([s for s, share in mix.items() if share > 0]))
+
+    def tokenise(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        met = vocab.piece_counts(batch)
+        known = _known_pieces(session, folder, batch_id)
+        new = vocab.piece_lengths(met.join(known.select("piece"), "piece", "left_anti"), list(merges))
+        new.write.mode("overwrite").parquet(f"{folder}/pieces/batch={batch_id}")
+        fresh = session.read.schema(PIECES).parquet(f"{folder}/pieces/batch={batch_id}")
+        ids = vocab.token_ids(batch, known.unionByName(fresh), eos=eos)
+        ids.write.mode("overwrite").parquet(f"{folder}/ids/batch={batch_id}")
+        stored = session.read.schema("doc_id long, ids array<int>, n_tokens long").parquet(f"{folder}/ids/batch={batch_id}")
+        rows = stored.select("doc_id", "n_tokens").join(batch.select("doc_id", "source"), "doc_id")
+        packed, after = append_aligned(rows, "doc_id", shard_size, _open_shard_before(session, folder, batch_id))
+        packed.write.mode("overwrite").parquet(f"{folder}/shards/batch={batch_id}")
+        state = session.createDataFrame(
+            [(batch_id, after.rows, after.tokens, after.shards, after.reach)],
+            "batch long, rows long, tokens long, shards long, reach long",
+        )
+        state.write.mode("overwrite").json(f"{folder}/state/number={batch_id}")
+
+    _run(taken.writeStream.foreachBatch(tokenise), f"{folder}/progress")
+
+
+def tokenised_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Packed rows of all finished batches with their ids."""
+    ids = spark.read.schema("doc_id long, ids array<int>, batch long").parquet(f"{folder}/ids")
+    return packed_arrivals(spark, folder).join(ids, ["batch", "doc_id"])
+
+
 def packed_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Packed rows of all finished batches."""
     finished = spark.read.schema("batch long").json(f"{folder}/state")

@@ -22,7 +22,7 @@ def points(spark, tmp_path, width):
     folder = tmp_path / "logs" / "deep"
     folder.mkdir(parents=True)
     (folder / "a.out").write_text(LOG, newline="")
-    return G.loss_points(G.log_lines(records.read_log_files(spark, str(tmp_path / "logs"))), width)
+    return G.block_loss_points(records.read_log_lines(spark, str(tmp_path / "logs")), width)
 
 
 @pytest.mark.parametrize("width", [1 << 16, 2])
@@ -35,6 +35,37 @@ def test_log_parsing(spark, tmp_path, width):
     assert row["improvement"] == 12.5
 
 
+def test_blocks_of_a_log_equal_the_whole(spark, tmp_path):
+    """Blocks cut lines, runs of line ends and stages anywhere; the points are those of the whole text."""
+    rng = random.Random(12)
+    names = ["Pretraining", "sft run", "dpo", "verifier", "idle"]
+    folder = tmp_path / "blocks"
+    folder.mkdir()
+    texts = {}
+    for name in ("a", "b"):
+        parts = []
+        for i in range(200):
+            line = f"now {rng.choice(names)}" if rng.random() < 0.02 else f"step={rng.randrange(90)} loss={rng.random():.4f} x lr=1.5e-{rng.randrange(3, 6)}"
+            parts.append(("é" * rng.randrange(40) if i % 5 == 0 else line) + rng.choice(("\n", "\r", "\r\n", "\n\n\n", "\r\r")))
+        texts[name] = "".join(parts)
+        (folder / name).write_text(texts[name], newline="")
+    rows = spark.createDataFrame(list(texts.items()), "file string, content string")
+    want = {tuple(r) for r in G.loss_points(G.log_lines(rows)).collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("211b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            lines = records.read_log_lines(spark, str(folder))
+            found = G.block_loss_points(lines).collect()
+            if size != "1m":
+                assert lines.select("block").distinct().count() > 10
+            assert {(r["file"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in found} == want and len(found) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def summary(**changes):
     task = {"task": "glue", "status": "ok", "metric": 0.5, "metric_keys_tried": ["average"],
             "raw": {"average": 0.5, "glue_score": True, "f1": "no", "per_task": {"cola": {"accuracy": 1, "n": "x"}, "bad": 3}}}

@@ -7,6 +7,7 @@ import pytest
 
 from tallyloom.operators import vocab as V
 from tallyloom.sources.workspace import pin
+from tallyloom.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +104,28 @@ def test_token_counts_equal_the_library(spark, documents, monkeypatch, frequent)
     found = {r["doc_id"]: r["n_tokens"] for r in V.token_counts(docs, pieces).collect()}
     coder = Tokenizer.from_str(V.tokenizer_json(learned))
     assert found == {r["doc_id"]: len(coder.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
+def test_streamed_ids_resume(spark, documents, tmp_path):
+    """Two runs give the ids of the library and the shards of one run; changed settings are refused."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80")
+    learned = V.learned_merges(pin(V.piece_counts(docs.where("text <> ''"))), 200)
+    schema = docs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    landing, folder, once = (str(tmp_path / n) for n in ("in", "out", "once"))
+    for part in ("doc_id < 30", "doc_id >= 30"):
+        docs.where(part).write.mode("append").parquet(landing)
+        jobs.tokenise_arrivals(jobs.arrivals(spark, landing, schema), folder, learned, 3000)
+    jobs.tokenise_arrivals(jobs.arrivals(spark, landing, schema), once, learned, 3000)
+    coder = Tokenizer.from_str(V.tokenizer_json(learned))
+    found = {r["doc_id"]: r for r in jobs.tokenised_arrivals(spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("text <> ''").collect()}
+    assert {k: r["ids"] for k, r in found.items()} == {k: coder.encode(t, add_special_tokens=False).ids + [0] for k, t in texts.items()}
+    assert {k: r["shard_id"] for k, r in found.items()} == {r["doc_id"]: r["shard_id"] for r in jobs.tokenised_arrivals(spark, once).collect()}
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    assert pieces.count() == pieces.select("piece").distinct().count()
+    for changed in ({"merges": learned[:-1]}, {"shard_size": 2999}, {"mix": {"a": 1.0}}):
+        settings = {"merges": learned, "shard_size": 3000, **changed}
+        with pytest.raises(ValueError):
+            jobs.tokenise_arrivals(jobs.arrivals(spark, landing, schema), folder, **settings)
