@@ -302,6 +302,13 @@ def checked_pairs(predictions: DataFrame, references: DataFrame, key: str) -> Da
     ).drop("_p", "_r")
 
 
+def unmatched(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Keys that only one side has, with that side's name."""
+    both = predictions.select(key, F.lit(1).alias("_p")).join(references.select(key, F.lit(1).alias("_r")), key, "full_outer")
+    side = F.when(F.col("_r").isNull(), "predictions").when(F.col("_p").isNull(), "references")
+    return both.select(key, side.alias("only_in")).filter(F.col("only_in").isNotNull())
+
+
 def most_easy(rows: DataFrame, subset: str, easy: Column) -> DataFrame:
     """Easy rows of each subset, or all of its rows when none is marked easy."""
     marked = rows.withColumn("_easy", F.coalesce(easy, F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import bound
+from tallyloom.sources.workspace import pin
 
 
 def scored_at_least(rows: DataFrame, score: str, least: float) -> DataFrame:
@@ -62,29 +62,44 @@ def task_wins(scores: DataFrame, baseline: DataFrame, needed: int) -> DataFrame:
     ).withColumn("better", F.col("wins") >= needed)
 
 
-def word_grams(text: Column, size: int) -> Column:
-    """All runs of ``size`` lower-case words of a text, each as one string."""
-    def grams(words: Column) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.array_join(F.slice(words, i, size), " "),
-        )
+#: Distinct benchmark grams that are sent to all tasks (8 bytes each); more are joined by a shuffle.
+SENT_GRAMS = 2_000_000
 
-    return bound(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), grams)
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def hashed_grams(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``key``, the words, and hash and place of every run of ``size`` lower-case words.
+
+    A run is hashed from its words' hashes, so no run is put together as text here.
+    """
+    worded = rows.select(key, _words(F.col("text")).alias("_words"))
+    hashed = worded.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    places = F.when(F.size("_words") >= size, F.sequence(F.lit(1), F.size("_words") - (size - 1)))
+    grams = F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("_hashes", i, size)).alias("h"), i.alias("at")))
+    return hashed.select(key, "_words", F.explode(grams).alias("_g")).select(key, "_words", "_g.h", "_g.at")
+
+
+def _as_text(grams: DataFrame, key: str, size: int) -> DataFrame:
+    # Never null, so that no test for null puts a run together before the hashes are compared.
+    text = F.coalesce(F.array_join(F.slice("_words", F.col("at"), F.lit(size)), " "), F.lit(""))
+    return grams.select(key, "h", text.alias("gram")).distinct()
 
 
 def shared_grams(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """Per benchmark item: its grams found in documents, and the documents that have them.
 
-    Grams meet by hash and are compared as text; each item's grams are distinct, and counts
-    are summed before they are shuffled.
+    The hashes of the benchmark's grams are sent to the documents when they are few enough, so only
+    grams that match become rows to shuffle; those are compared as text. An item's grams are distinct, and
+    so are a document's; counts are summed before they are shuffled.
     """
-    asked = benchmark.select("item_id", F.explode(F.array_distinct(word_grams(F.col("text"), size))).alias("gram"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(word_grams(F.col("text"), size))).alias("_gram"))
-    left = asked.withColumn("_h", F.xxhash64("gram"))
-    right = seen.withColumn("_h", F.xxhash64("_gram"))
-    hits = right.join(left, "_h").filter(F.col("gram") == F.col("_gram"))
+    asked = pin(_as_text(hashed_grams(benchmark, "item_id", size), "item_id", size))
+    wanted = asked.select("h").distinct()
+    few = wanted.count() <= SENT_GRAMS
+    met = hashed_grams(docs, "doc_id", size).join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
+    hits = _as_text(met, "doc_id", size).drop("h").join(asked, "gram")
     per_doc = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("grams"))
     return per_doc.groupBy("item_id").agg(
         F.count("*").alias("documents"), F.max("grams").alias("most_grams"), F.sum("grams").alias("hits")

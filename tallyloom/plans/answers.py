@@ -510,8 +510,15 @@ def json_values(spark, sf_dir):
     )
 
 
-@query("composed_text", "SELECT doc_id, md5(nfc_normalize(text)) AS nfc_md5 FROM documents")
+LOOSE_SQL = "replace(replace(replace(text, 'a', 'a' || chr(768)), 'e', 'e' || chr(769)), 'o', 'o' || chr(776))"
+
+
+@query("composed_text", f"SELECT doc_id, md5(nfc_normalize({LOOSE_SQL})) AS nfc_md5 FROM documents")
 def composed_text(spark, sf_dir):
+    """Texts whose vowels carry accents of their own; putting them together changes every text."""
+    loose = F.col("text")
+    for letter, accent in (("a", "\u0300"), ("e", "\u0301"), ("o", "\u0308")):
+        loose = F.replace(loose, F.lit(letter), F.lit(letter + accent))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(T.composed(F.col("text")).cast("binary")).alias("nfc_md5")
+        "doc_id", F.md5(T.composed(loose).cast("binary")).alias("nfc_md5")
     )

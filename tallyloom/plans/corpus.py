@@ -10,7 +10,9 @@ from tallyloom.functions import text as T
 from tallyloom.functions.draws import uniform
 from tallyloom.functions.tokens import word_count
 from tallyloom.operators import mixing
+from tallyloom.operators.ordered import first_per_group
 from tallyloom.operators.packing import mix_report
+from tallyloom.operators.rollup import rows_per_source
 from tallyloom.plans.registry import query, table, texts
 from tallyloom.sources import corpora
 from tallyloom.sources.workspace import new_table_path, pin
@@ -99,7 +101,13 @@ def text_scan(spark, sf_dir):
     "SELECT page_id, length(html) AS n_chars, md5(html) AS text_md5 FROM pages WHERE html <> ''",
 )
 def binary_text_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.col("html").cast("binary"))
+    """Pages as bytes; every page gets a broken byte in its middle and one at its end, which must go."""
+    whole = F.col("html").cast("binary")
+    half = F.floor(F.char_length("html") / 2).cast("int")
+    front = F.substring("html", F.lit(1), half).cast("binary")
+    back = F.substring("html", half + 1, F.char_length("html")).cast("binary")
+    broken = F.concat(front, F.unhex(F.lit("FF")), back, F.unhex(F.lit("C3")))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("html") != "", broken).otherwise(whole))
     rows = corpora.text_rows(pages, "html", ["page_id"])
     return rows.select(
         "page_id",
@@ -201,6 +209,56 @@ def concat_sources(spark, sf_dir):
     )
 
 
+@query(
+    "file_census",
+    """SELECT lang, count(*) AS n_rows, 'ok' AS status FROM (SELECT coalesce(lang, 'none') AS lang FROM documents) GROUP BY 1
+    UNION ALL SELECT 'broken', 0, 'no rows'""",
+)
+def file_census(spark, sf_dir):
+    """Files by language next to one that is no table at all."""
+    path = new_table_path(spark, "census")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartition(tasks, "lang").select("doc_id", F.concat(F.lit("lang="), "lang").alias("part")).write.partitionBy("part").parquet(path)
+    noise = table(spark, sf_dir, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("value"))
+    noise.limit(5).coalesce(1).write.text(f"{path}/part=lang%3Dbroken")
+    lang = F.regexp_extract("file", "lang(?:=|%3D|%253D)([a-z]+)", 1)
+    found = corpora.file_census(spark, path, "doc_id long")
+    return found.select(lang.alias("lang"), "n_rows", "status")
+
+
+@query(
+    "configured_sources",
+    """SELECT spec, source AS name,
+      CASE doc_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN lang ELSE CASE WHEN source = 'src0' THEN 'plain' END END AS config, count(*) AS n FROM
+    (SELECT *, source || CASE doc_id % 3 WHEN 0 THEN '::raw' WHEN 1 THEN ':' || lang ELSE '' END AS spec FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY ALL""",
+)
+def configured_sources(spark, sf_dir):
+    """Source names written with a configuration in either way, or registered with one."""
+    docs = corpora.require_columns(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
+    kind = F.col("doc_id") % 3
+    spec = F.concat("source", F.when(kind == 0, "::raw").when(kind == 1, F.concat(F.lit(":"), "lang")).otherwise(""))
+    named = docs.filter("source IS NOT NULL AND lang IS NOT NULL").select(spec.alias("spec"), corpora.config_of(spec, {"src0": "plain"}).alias("_c"))
+    return named.groupBy("spec", "_c.name", "_c.config").agg(F.count("*").alias("n"))
+
+
+@query(
+    "inferred_source_cap",
+    """WITH cap AS (SELECT greatest(1024, ceil(700 * 32 / count(DISTINCT source)))::BIGINT AS c FROM documents)
+    SELECT source, least(count(*), (SELECT c FROM cap)) AS n_rows, max(doc_id) AS last_doc, (SELECT c FROM cap) AS cap FROM
+      (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL) WHERE r <= (SELECT c FROM cap) GROUP BY source""",
+)
+def inferred_source_cap(spark, sf_dir):
+    """Rows per source where none is configured: enough for the steps of the run."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("source", "doc_id")
+    sources = docs.agg(F.count_distinct("source").alias("n")).first()["n"]
+    cap = rows_per_source(None, 700, 32, sources)
+    kept = first_per_group(docs, ["source"], [F.col("doc_id")], cap)
+    return kept.groupBy("source").agg(
+        F.count("*").alias("n_rows"), F.max("doc_id").alias("last_doc"), F.lit(cap).cast("long").alias("cap")
+    )
+
+
 @query(
     "all_splits",
     "SELECT event_id, event_type FROM events",

@@ -135,6 +135,17 @@ def checked_pairs(spark, sf_dir):
     return S.checked_pairs(docs.join(labels, "doc_id", "left_semi"), labels, "doc_id")
 
 
+@query(
+    "unmatched_pairs",
+    """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'predictions' ELSE 'references' END AS only_in
+    FROM (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN (SELECT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
+)
+def unmatched_pairs(spark, sf_dir):
+    """Documents without a label and labels whose document gave no prediction."""
+    predicted = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0")
+    return S.unmatched(predicted, table(spark, sf_dir, "labels"), "doc_id")
+
+
 # Choice scores: an order is an item, its lines are the choices.
 PICK_SQL = """picked AS (SELECT l_orderkey, arg_min(l_linenumber, rn) AS picked FROM
   (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {score} DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1 GROUP BY l_orderkey)"""

@@ -41,6 +41,23 @@ def resolve_config(name: str, known: Mapping[str, str]) -> tuple[str, str | None
     return name, known.get(name)
 
 
+def config_of(spec: Column, known: Mapping[str, str]) -> Column:
+    """``resolve_config`` as a column: a struct of ``name`` and ``config``."""
+    double, single = F.instr(spec, "::"), F.instr(F.reverse(spec), ":")
+    head, tail = F.substring(spec, F.lit(1), double - 1), F.substring(spec, double + 2, F.char_length(spec))
+    cut = F.char_length(spec) - single
+    name, config = F.substring(spec, F.lit(1), cut), F.substring(spec, cut + 2, F.char_length(spec))
+    registered = F.lit(None).cast("string")
+    for key, value in known.items():
+        registered = F.when(spec == key, value).otherwise(registered)
+    pair = lambda n, c: F.struct(n.alias("name"), c.alias("config"))
+    return (
+        F.when(double > 0, pair(head, F.nullif(tail, F.lit(""))))
+        .when((single > 1) & (cut > 0), pair(name, config))
+        .otherwise(pair(spec, registered))
+    )
+
+
 def resolve_split(
     name: str, split: str, aliases: Mapping[str, Mapping[str, str]]
 ) -> str:
@@ -147,6 +164,31 @@ def concatenated(parts: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
     return joined
 
 
+def read_readable(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """Rows of all files under a folder with their ``file``; files that break while they are read give what came before."""
+    return (
+        spark.read.format(kind).schema(schema).option("ignoreCorruptFiles", True)
+        .option("recursiveFileLookup", True).load(path).withColumn("file", F.col("_metadata.file_path"))
+    )
+
+
+def file_census(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """``file``, ``bytes``, ``n_rows`` and ``status`` of every file under a folder.
+
+    A file that gives no row, because it is broken or holds none, has ``no rows``: ``read_readable`` passes over it
+    and it is named here. Files without a byte are not listed. Only names and sizes are listed, contents are
+    read once, to count rows.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"))
+    )
+    counted = read_readable(spark, path, schema, kind).groupBy("file").agg(F.count("*").alias("n_rows"))
+    rows = F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+    status = F.when(F.col("n_rows").isNull(), "no rows").otherwise("ok")
+    return listed.join(counted, "file", "left").select("file", "bytes", rows, status.alias("status"))
+
+
 def all_splits_or_test(splits: Mapping[str, DataFrame]) -> DataFrame:
     """The test split when there is one, else all splits together."""
     if "test" in splits:

@@ -144,6 +144,25 @@ def test_specs_and_splits():
     assert corpora.resolve_split("other", "train", aliases) == "train"
 
 
+def test_configurations_as_columns(spark):
+    names = ["a::b", "a:b", "a", "x::", "a::b:c", ":b", "p:q:r", "b:", "", "::z"]
+    known = {"a": "c", "b:": "d", "": "e"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    found = {r["name"]: tuple(r["c"]) for r in rows.select("name", corpora.config_of(F.col("name"), known).alias("c")).collect()}
+    assert found == {n: corpora.resolve_config(n, known) for n in names}
+
+
+def test_files_that_break(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    spark.range(0, 50, 1, 2).write.parquet(folder)
+    good = sorted((tmp_path / "files").glob("*.parquet"))
+    (tmp_path / "files" / "bad.parquet").write_bytes(good[0].read_bytes()[:-20])
+    (tmp_path / "files" / "none.parquet").write_bytes(b"")
+    assert corpora.read_readable(spark, folder, "id long").count() == 50
+    census = {r["file"].rsplit("/", 1)[1]: (r["n_rows"], r["status"]) for r in corpora.file_census(spark, folder, "id long").collect()}
+    assert census == {good[0].name: (25, "ok"), good[1].name: (25, "ok"), "bad.parquet": (0, "no rows")}
+
+
 def test_manifest_and_text_rows(spark, tmp_path):
     (tmp_path / "one.jsonl").write_text('{"text": "a"}\n{"text": ""}\n')
     (tmp_path / "two.jsonl").write_text('{"text": "b"}\n')
