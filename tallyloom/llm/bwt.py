@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.pretokens import forget
 from tallyloom.llm.rows import set_aside
 from tallyloom.llm.shingles import BACK, STEP, mixed, powers
 from tallyloom.sources.workspace import pin
@@ -231,6 +232,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def all_runs(docs: DataFrame, length: int, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -260,6 +262,7 @@ def run_texts(docs: DataFrame, distinct: DataFrame, length: int, text: str) -> D
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -284,6 +287,7 @@ def indexed(runs: DataFrame, length: int) -> DataFrame:
     """Repeats within the runs of each anchor: ``anchor``, ``content`` and ``spans``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple] = []
         size, last = 0, None
 
@@ -318,6 +322,7 @@ def counted_windows(runs: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many different runs: windows are counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
                 anchor, content, weight, data = (x.as_py() for x in row)
@@ -386,6 +391,7 @@ def removal_digest(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: bytes, removed bytes, removed ranges and a digest of what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -421,6 +427,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     chars = names.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
+from tallyloom.llm.pretokens import forget
 from tallyloom.llm.rows import set_aside
 from tallyloom.llm.shingles import band_keys, band_plan, set_id, shingle_set
 from tallyloom.sources.workspace import pin
@@ -36,6 +37,7 @@ def signed_rows(docs: DataFrame, bands: int, rows: int, words: int, key: str, te
     """Per row: key, set id, number of shingles and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -61,6 +63,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -88,6 +91,7 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
     joined = pairs.join(left, "a").join(right, "b").where(~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):

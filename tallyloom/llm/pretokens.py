@@ -4,12 +4,14 @@ Both public byte pair vocabularies first cut a text by character class. Here the
 all characters of a block are taken from one table, the cut points follow by comparing
 neighbours, and the pretokens become an Arrow string array over the same bytes. Arrow's
 dictionary encoding leaves the distinct pretokens of the block; only those a worker has not
-met before are encoded. The memory of a worker holds at most twice ``MEMORY`` pretokens, the
-older half is dropped when full; that changes the speed only.
+met before are encoded. The memory of a worker holds at most twice ``MEMORY`` pretokens or ``MEMORY_BYTES``,
+the older half is dropped when full; that changes the speed only. Steps that don't tokenise give it back.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -20,6 +22,7 @@ import pyarrow as pa
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 MEMORY = 150_000
+MEMORY_BYTES = 16 << 20
 BLOCK = 2 << 20
 
 # Letters and numbers that Unicode 16.0 added, beyond this Python's tables.
@@ -122,10 +125,11 @@ class Pretokens:
         self.encode_text, self.whole = encode_text, whole
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
+        if len(self.known) > MEMORY or self.held > MEMORY_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         got = list(map(self.known.get, words))
         if None in got:
             rest = [i for i, ids in enumerate(got) if ids is None]
@@ -139,6 +143,7 @@ class Pretokens:
             fresh = [words[i] for i in new]
             for i, word, ids in zip(new, fresh, self.encode_words(fresh), strict=True):
                 got[i] = self.known[word] = array("I", ids).tobytes()
+                self.held += len(word) + len(got[i])
         return got
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +245,13 @@ def library_pretokens(path: str) -> Pretokens:
 
 def forget() -> None:
     """Give back a worker's memory of pretokens, for steps that don't tokenise."""
-    library_pretokens.cache_clear()
+    if library_pretokens.cache_info().currsize:
+        library_pretokens.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tallyloom.llm.pretokens import LETTER, NUMBER, classes, code_points
+from tallyloom.llm.pretokens import LETTER, NUMBER, classes, code_points, forget
 
 BLOCK = 1 << 20
 ENDS = [ord(c) for c in ".!?\n"]
@@ -46,6 +46,7 @@ class Words:
 
 def word_blocks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     """Position of the first text and the words of blocks of about ``BLOCK`` bytes."""
+    forget()
     values = ["" if v is None else v for v in texts.to_pylist()]
     at = 0
     while at < len(values):
