@@ -4,21 +4,22 @@ The chain is a sentence (at most ``CHAIN`` words); each word is outside or toxic
 the word and its prefixes of 4 to 6 letters, for the word itself and for its neighbours, and
 the transitions. Only features that mark toxic documents are kept: their counts over all
 labelled training rows must be further from chance than the number of features explains
-(likelihood ratio above ``DOUBT`` times its logarithm), with a share of toxic rows of ``PURE``
-at least. Words of toxic rows with such a feature are the labelled tokens. The weights
+(likelihood ratio above ``DOUBT`` times its logarithm), with a share of toxic rows of ``LIFT`` times
+that of all rows at least, or ``PURE`` if that is less. Words of toxic rows with such a feature are the labelled tokens. The weights
 maximise the likelihood of tagged sentences of a bounded sample (``SAMPLE`` rows a class);
 forward and backward passes run over all sentences of a block at once. A row's score is a
 logistic function of the largest marginal, the expected number of toxic words and the number
 of all words, fitted on the same sample and shifted to the share of toxic rows.
 
 Labels of rows whose checksum of the key leaves 0 on division by 5 are held out. Rows with a
-null or conflicting label (mean one half) train nothing. Null and empty texts have no words:
+null or conflicting label (mean one half) train nothing; neither do labels of keys without a document. Null and empty texts have no words:
 their score is that of no toxic word. Without labelled rows of both classes, with texts, every score
 is the known share (0 if there is none). Repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,12 +34,15 @@ from tallyloom.llm.rows import set_aside
 from tallyloom.llm.wordblocks import Words, word_blocks
 from tallyloom.sources.workspace import pin
 
+log = logging.getLogger(__name__)
+
 CHAIN = 256
 SAMPLE = 800
 FEATURES = 20_000
 HELD = 200_000
 DOUBT = 2.0
 PURE = 0.3
+LIFT = 3.0
 BROADCAST_ROWS = 200_000
 ROUNDS = 60
 
@@ -83,15 +87,20 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
 
 def marking_features(counts: DataFrame, clean: int, toxic: int) -> list[str]:
-    """Features of toxic rows beyond chance, the strongest ``FEATURES``; those go to the driver."""
+    """Features of toxic rows beyond chance; those go to the driver. Should more than ``FEATURES`` be found,
+    the strongest are kept and a warning names how many there were."""
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n, share = t + c, F.lit(toxic / (toxic + clean))
     part = lambda x, want: F.when(x > 0, x * F.log(x / want)).otherwise(F.lit(0.0))
     ratio = 2 * (part(t, n * share) + part(c, n * (1 - share)))
     total = counts.count()
-    strong = counts.withColumn("g", ratio).where((t > n * share) & (t >= PURE * n))
-    rows = strong.where(F.col("g") > DOUBT * np.log(max(2, total))).orderBy(F.desc("g"), "feature").limit(FEATURES)
-    return [r["feature"] for r in rows.select("feature").collect()]
+    pure = min(PURE, LIFT * toxic / (toxic + clean))
+    strong = counts.withColumn("g", ratio).where((t > n * share) & (t >= pure * n))
+    rows = strong.where(F.col("g") > DOUBT * np.log(max(2, total)))
+    found = [r["feature"] for r in rows.orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature").collect()]
+    if len(found) == FEATURES:
+        log.warning("%d of %d features beyond chance are kept", FEATURES, rows.count())
+    return found
 
 
 class Field:
@@ -237,8 +246,9 @@ def bounded_sample(docs: DataFrame, picked: DataFrame, rows: int, key: str = "do
 
 def trained(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str = "doc_id", text: str = "text") -> Field:
     """A field from the training labels. The driver holds the features kept and the sample."""
-    known = pin(clean_labels(labels, column, key).where(~held_out(F.col("_key"))))
     plain = docs.select(F.col(key), F.col(text).alias("text"))
+    marked_keys = clean_labels(labels, column, key).where(~held_out(F.col("_key")))
+    known = pin(marked_keys.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
