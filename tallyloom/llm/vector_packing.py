@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.pretokens import library_pretokens, with_end
 
 WINDOW = 4096
+WINDOW_IDS = 1 << 23
+#: A sequence that closes with more room than this share of it is cut into powers of two.
+SLACK = 1 / 16
 
 
 def pack(tokens: np.ndarray, prompts: np.ndarray, room: tuple[int, int, int]) -> list[list[tuple[int, int, int]]]:
@@ -79,9 +82,9 @@ def pack(tokens: np.ndarray, prompts: np.ndarray, room: tuple[int, int, int]) ->
             if not left[i]:
                 alive = np.delete(alive, at)
         out.append(bin_)
-    if out:
-        out[-1:] = powers(out[-1], capacity)
-    return out
+    last = len(out) - 1
+    close = lambda i, b: i < last and sum(size for _, _, size in b) >= (1 - SLACK) * capacity
+    return [part for i, b in enumerate(out) for part in ([b] if close(i, b) else powers(b, capacity))]
 
 
 def powers(bin_: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -126,9 +129,11 @@ def packed_texts(
         keys: list = []
         parts: list[np.ndarray] = []
         prompts: list[int] = []
+        held_ids = 0
 
         def close(kind: pa.DataType) -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, held_ids
+            held_ids = 0
             sizes = np.array([len(p) for p in parts], np.int64)
             free = np.clip(np.array(prompts, np.int64), 0, sizes)
             cols: list[list] = [[] for _ in fields]
@@ -157,7 +162,8 @@ def packed_texts(
                 keys.extend(batch.column(0).slice(at, len(counts)).to_pylist())
                 prompts.extend(batch.column(2).slice(at, len(counts)).to_pylist())
                 parts.extend(np.split(ids.astype("<u4"), stops[:-1]))
-                if len(keys) >= WINDOW:
+                held_ids += len(ids)
+                if len(keys) >= WINDOW or held_ids >= WINDOW_IDS:
                     yield close(kind)
         if keys:
             yield close(kind)
