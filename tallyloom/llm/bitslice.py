@@ -211,7 +211,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                     cols[2].extend(scores.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    pairs = index.crossJoin(groups).where("dim = qdim").drop("qdim", "part", "rows")
+    # One block a task: the small index would otherwise be read, and searched, by a single one.
+    pairs = index.repartition(blocks).crossJoin(groups).where("dim = qdim").drop("qdim", "part", "rows")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
