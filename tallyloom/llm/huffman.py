@@ -244,7 +244,7 @@ def write_token_files(
     coded = tokens.mapInArrow(
         _code(ids, bits, limit, bounds, width), "bucket int, key long, n long, marks binary, code binary"
     )
-    blocks = coded.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "key", "code").mapInArrow(
+    blocks = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "key", "code").mapInArrow(
         _blocks,
         "bucket int, block long, before long, n_ids long, keys array<long>, counts array<long>, places array<long>, marks binary, code binary",
     )
