@@ -3,11 +3,12 @@
 A sequence has three limits: tokens, segments (pieces of examples) and loss-bearing tokens.
 The next example of an open sequence is the one that fits and whose needs, each as a share of
 its limit, have the largest dot product with the room left; when none fits whole, the best
-one is cut to the room. Examples longer than a sequence first give whole sequences. Only the
-last sequence of a window can stay open; it is cut into powers of two, which need no padding.
+one is cut to the room. Examples longer than a sequence first give whole sequences. The last
+sequence of a window, and any that another limit closes with more than ``SLACK`` of its room left, is
+cut into powers of two, which need no padding.
 
-Packing runs in windows of ``WINDOW`` examples within a partition, next to the ids, so
-nothing is shuffled and a task holds one window. ``sequence_id`` is made of the partition and
+Packing runs in windows of ``WINDOW`` examples (fewer, once they hold ``WINDOW_IDS`` ids) within a partition, next
+to the ids, so nothing is shuffled and a task holds one window. ``sequence_id`` is made of the partition and
 a number in it. The same partitions give the same rows again, so a lost task can be redone.
 
 Null texts count as empty: their one id is the end. A null or repeated key keeps its rows. A
