@@ -485,3 +485,54 @@ def test_co_training_learns_from_every_unlabelled_row(spark):
     views = cotrain.trained(docs, labels)
     free = cotrain.slots([f"own{i}x" for i in range(300, 1800)], cotrain.WIDTH)
     assert (views.text[free] != 0).mean() > 0.95
+
+
+def test_labels_of_absent_documents_train_nothing(spark):
+    """Labels far beyond the documents leave the scores as they are."""
+    docs = spark.createDataFrame(
+        [(i, f"the calm words of text {i} " + ("vile grimmig rotten" if i % 5 == 0 else "fine kind day")) for i in range(300)],
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    absent = spark.range(1000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    alone = {r["doc_id"]: r["score"] for r in crf.toxicity(docs, labels).collect()}
+    found = {r["doc_id"]: r["score"] for r in crf.toxicity(docs, labels.unionByName(absent)).collect()}
+    assert found == alone and len(set(alone.values())) > 1
+    assert all((score >= 0.5) == (key % 5 == 0) for key, score in alone.items())
+
+
+def test_rare_toxic_words_are_found():
+    """Where one row in a hundred is toxic, a word of one toxic row in ten still marks."""
+    assert min(crf.PURE, crf.LIFT * 0.01) < 0.1 < crf.PURE
+
+
+def test_short_documents_are_packed_without_padding(spark):
+    rows = spark.createDataFrame([(i, "a") for i in range(3000)] + [(5000, None), (5001, "b c d " * 3000)], "doc_id long, text string")
+    pieces = vector_packing.packed_texts(rows.coalesce(1), BYTES, end=1).collect()
+    used, offsets, covered = Counter(), {}, {}
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == offsets.get(r["sequence_id"], 0)
+        offsets[r["sequence_id"]] = r["offset"] + r["length"]
+        used[r["sequence_id"]] += r["length"]
+        covered.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in used.values())
+    assert max(used.values()) <= 2048 and padded <= sum(used.values()) / 15
+    for parts in covered.values():
+        at = 0
+        for start, length, _ in sorted(parts):
+            assert start == at
+            at += length
+        assert at == parts[0][2]
+    assert len(covered) == 3002
+
+
+def test_words_are_held_by_bytes(monkeypatch):
+    from tallyloom.llm import pretokens
+
+    coder = library_pretokens(WORDS)
+    whole = [coder.one(f"word{i} thing{i}").tolist() for i in range(300)]
+    monkeypatch.setattr(pretokens, "MEMORY_BYTES", 100)
+    assert [coder.one(f"word{i} thing{i}").tolist() for i in range(300)] == whole
+    assert len(coder.known) < 50
+    pretokens.forget()
+    assert library_pretokens.cache_info().currsize == 0
