@@ -166,7 +166,7 @@ def built_index(rows: DataFrame, blocks: int) -> DataFrame:
         planes, shift, low = sliced(numbers, int(numbers.min(initial=0)))
         return pd.DataFrame(
             {
-                "dim": [dim], "rows": [len(group)], "shift": [shift], "low": [low], "slices": [planes.shape[1]],
+                "dim": [dim], "block": [int(group["block"].iloc[0])], "rows": [len(group)], "shift": [shift], "low": [low], "slices": [planes.shape[1]],
                 "ids": [group["id"].to_numpy().tobytes()], "numbers": [numbers.astype("<i4").tobytes()],
                 "planes": [planes.tobytes()],
             }
@@ -174,7 +174,7 @@ def built_index(rows: DataFrame, blocks: int) -> DataFrame:
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
     return rows.select("id", "dim", "q", block).groupBy("dim", "block").applyInPandas(
-        run, "dim int, rows int, shift int, low long, slices int, ids binary, numbers binary, planes binary"
+        run, "dim int, block long, rows int, shift int, low long, slices int, ids binary, numbers binary, planes binary"
     )
 
 
@@ -211,8 +211,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                     cols[2].extend(scores.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    # One block a task: the small index would otherwise be read, and searched, by a single one.
-    pairs = index.repartition(blocks).crossJoin(groups).where("dim = qdim").drop("qdim", "part", "rows")
+    # Each block of the index is a key of its own with a partition that is not merged with others, so
+    # the queries of one length do not all meet all rows in one task.
+    everywhere = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    place = [F.col("dim"), F.col("block")]
+    asked_there = everywhere.withColumnRenamed("qdim", "dim").repartition(blocks, *place)
+    pairs = index.repartition(blocks, *place).join(asked_there, ["dim", "block"]).drop("block", "part", "rows")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
