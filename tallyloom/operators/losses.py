@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from tallyloom.functions.stems import stems
 from tallyloom.functions.text import strip
 from tallyloom.functions.tokens import word_count
 from tallyloom.sources.corpora import capped
@@ -17,6 +16,9 @@ INFINITE, NOT_A_NUMBER = float("inf"), float("nan")
 # Where each form of perplexity stops.
 LARGEST_TRAINER_LOSS, LARGEST_STAGE_LOSS = 20, 100
 FEWEST_TOKENS = 2
+# Bits of a group in the recurrence of common subsequences: sums of two groups stay a long.
+BITS = 62
+FULL = (1 << BITS) - 1
 
 
 def finite(value: Column) -> Column:
@@ -153,12 +155,13 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
-def gram_overlap(pairs: DataFrame, keys: Sequence[str], n: int, out: str) -> DataFrame:
-    """F1 of shared n-grams, repeats counted; words are not stemmed."""
+def gram_overlap(
+    pairs: DataFrame, keys: Sequence[str], n: int, out: str, stemmed: bool = False
+) -> DataFrame:
+    """F1 of shared n-grams, repeats counted, of words or of their stems."""
+    words = (lambda text: stems(summary_tokens(text))) if stemmed else summary_tokens
     tokens = pairs.select(
-        *keys,
-        summary_tokens(F.col("predicted")).alias("_p"),
-        summary_tokens(F.col("gold")).alias("_g"),
+        *keys, words(F.col("predicted")).alias("_p"), words(F.col("gold")).alias("_g")
     )
     sides = F.concat(
         F.transform(_grams(F.col("_p"), n), lambda t: F.struct(t.alias("t"), F.lit(1).alias("p"))),
@@ -180,22 +183,86 @@ def gram_overlap(pairs: DataFrame, keys: Sequence[str], n: int, out: str) -> Dat
     )
 
 
-@F.pandas_udf(DoubleType())
-def longest_common_f1(predicted: pd.Series, gold: pd.Series) -> pd.Series:
-    """F1 of the longest common subsequence of two token arrays, by bit rows."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bits_of(word: Column, spread: Column, group: Column) -> Column:
+    """The places of a word in one group of a spread array, as bits."""
+    return F.aggregate(
+        F.slice(spread, group * BITS + 1, F.lit(BITS)),
+        F.lit(0).cast("bigint"),
+        lambda bits, x: F.when(
+            x["t"] == word,
+            bits + F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"] % BITS),
+        ).otherwise(bits),
+    )
+
+
+def _added(row: Column, hit: Column) -> Column:
+    """One step of the recurrence: the row with a word's places added, group by group."""
+
+    def group(state: Column, j: Column) -> Column:
+        old = F.get(row, j)
+        met = old.bitwiseAND(F.get(hit, j))
+        total = old + met + state["carry"]
+        new = total.bitwiseOR(old - met).bitwiseAND(F.lit(FULL))
+        return F.struct(
+            F.shiftright(total, BITS).alias("carry"),
+            F.concat(state["row"], F.array(new)).alias("row"),
+        )
+
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("row")
+    )
+    return F.aggregate(F.sequence(F.lit(0), F.size(row) - 1), none, group, lambda s: s["row"])
+
 
-    def score(p, g) -> float:
-        if p is None or g is None or not len(p) or not len(g):
-            return 0.0
-        where: dict[str, int] = {}
-        for i, token in enumerate(p):
-            where[token] = where.get(token, 0) | (1 << i)
-        full = (1 << len(p)) - 1
-        row = full
-        for token in g:
-            hit = row & where.get(token, 0)
-            row = ((row + hit) | (row - hit)) & full
-        common = len(p) - row.bit_count()
-        return 2.0 * common / (len(p) + len(g))
+def longest_common_f1(predicted: Column, gold: Column) -> Column:
+    """F1 of the longest common subsequence of two token arrays; 0 where one is empty or null.
 
-    return pd.Series([score(p, g) for p, g in zip(predicted, gold)])
+    The places of the shorter array are bits, all set at first, in groups of ``BITS``. Each token
+    of the longer one adds its own places, with carries between groups; the bits that end as 0
+    count the subsequence. Work grows with the product of the lengths.
+    """
+    def common(s: Column) -> Column:
+        places = F.transform(s["a"], lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        groups = F.sequence(F.lit(0), F.floor((F.size(s["a"]) - 1) / BITS).cast("int"))
+        return _let(F.struct(places.alias("places"), groups.alias("groups"), s["b"].alias("b")), met)
+
+    def met(s: Column) -> Column:
+        words = F.array_distinct(s["places"]["t"])
+        hits = F.map_from_arrays(
+            words,
+            F.transform(words, lambda w: F.transform(s["groups"], lambda g: _bits_of(w, s["places"], g))),
+        )
+        full = F.transform(s["groups"], lambda g: F.lit(FULL))
+        return _let(F.struct(hits.alias("hits"), full.alias("full"), s["b"].alias("b")), walked)
+
+    def walked(s: Column) -> Column:
+        found = F.filter(
+            F.transform(s["b"], lambda t: F.try_element_at(s["hits"], t)), lambda h: h.isNotNull()
+        )
+        left = F.aggregate(found, s["full"], _added)
+        return F.aggregate(left, F.lit(0), lambda n, bits: n + BITS - F.bit_count(bits))
+
+    def score(s: Column) -> Column:
+        p, g = s["p"], s["g"]
+        sides = F.when(F.size(p) <= F.size(g), F.struct(p.alias("a"), g.alias("b"))).otherwise(
+            F.struct(g.alias("a"), p.alias("b"))
+        )
+        some = (F.size(p) > 0) & (F.size(g) > 0)
+        f1 = 2.0 * _let(sides, common) / (F.size(p) + F.size(g))
+        return F.when(some, f1).otherwise(F.lit(0.0))
+
+    return _let(F.struct(predicted.alias("p"), gold.alias("g")), score)
+
+
+def subsequence_overlap(
+    pairs: DataFrame, keys: Sequence[str], out: str, stemmed: bool = False
+) -> DataFrame:
+    """F1 of the longest common subsequence of words, or of their stems; no shuffle."""
+    words = (lambda text: stems(summary_tokens(text))) if stemmed else summary_tokens
+    found = longest_common_f1(words(F.col("predicted")), words(F.col("gold")))
+    return pairs.select(*keys, found.alias(out))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators import losses as L
 from tallyloom.plans.registry import query, table
 from tallyloom.plans.scoring import rounded
+from tallyloom.plans.stem_sql import stem_tables
+from tallyloom.sources.corpora import spread
 
 # Event values as batch losses; some are made infinite or not a number.
 LOSS_SQL = """losses AS (SELECT event_type, user_id, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE WHEN event_id % 13 = 0 THEN 'inf'::DOUBLE
@@ -144,7 +146,7 @@ def attention_summary(spark, sf_dir):
 
 
 def _summaries(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     before = turns.select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold")
     )
@@ -153,15 +155,36 @@ def _summaries(spark, sf_dir):
     )
 
 
-def _gram_sql(n, out):
+TOKENS_SQL = "toks AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM conversations)"
+STEMS_SQL = f"""listed AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM conversations),
+    placed AS (SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM listed),
+    {stem_tables("placed")},
+    stemmed AS (SELECT conv_id, turn, list(stem ORDER BY k) AS t FROM placed JOIN stems USING (token) GROUP BY 1, 2),
+    toks AS (SELECT conv_id, turn, coalesce(stemmed.t, []) AS t FROM listed LEFT JOIN stemmed USING (conv_id, turn))"""
+
+
+def _gram_sql(n, out, tokens=TOKENS_SQL):
     grams = "t" if n == 1 else f"list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i+{n - 1}], ' '))"
-    return f"""WITH toks AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM conversations),
+    return f"""WITH {tokens},
     grams AS (SELECT conv_id, turn, {grams} AS g FROM toks),
     pairs AS (SELECT a.conv_id, a.turn, a.g AS p, b.g AS q FROM grams a JOIN grams b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)
     SELECT conv_id, turn, round(CASE WHEN len(p) + len(q) = 0 THEN 0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(p),
       lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(q, lambda x: x = t))))), 0) / (len(p) + len(q)) END::DOUBLE, 9) AS {out} FROM pairs"""
 
 
+def _sequence_sql(out, tokens=TOKENS_SQL):
+    """The usual table of prefixes, one row of it an iteration."""
+    return f"""WITH RECURSIVE {tokens},
+    pairs AS (SELECT a.conv_id, a.turn, a.t AS p, b.t AS q FROM toks a JOIN toks b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
+    walk AS (SELECT conv_id, turn, 0 AS i, list_transform(range(len(p) + 1), lambda x: 0) AS cells FROM pairs
+      UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j]))
+      FROM (SELECT conv_id, turn, i, list_transform(range(1, len(p) + 2), lambda j: CASE WHEN j = 1 THEN 0
+        ELSE greatest(cells[j], cells[j - 1] + CASE WHEN p[j - 1] = q[i + 1] THEN 1 ELSE 0 END) END) AS cand
+        FROM walk JOIN pairs USING (conv_id, turn) WHERE i < len(q)))
+    SELECT conv_id, turn, round(CASE WHEN len(p) * len(q) = 0 THEN 0 ELSE 2.0 * cells[-1] / (len(p) + len(q)) END::DOUBLE, 9) AS {out}
+    FROM walk JOIN pairs USING (conv_id, turn) WHERE i = len(q)"""
+
+
 @query("unigram_overlap", _gram_sql(1, "unigram_f1"))
 def unigram_overlap(spark, sf_dir):
     found = L.gram_overlap(_summaries(spark, sf_dir), ["conv_id", "turn"], 1, "unigram_f1")
@@ -174,12 +197,28 @@ def bigram_overlap(spark, sf_dir):
     return rounded(found, "bigram_f1")
 
 
-@query("longest_common_f1")
+@query("longest_common_f1", _sequence_sql("sequence_f1"))
 def longest_common_f1(spark, sf_dir):
-    return _summaries(spark, sf_dir).select(
-        "conv_id",
-        "turn",
-        L.longest_common_f1(
-            L.summary_tokens(F.col("predicted")), L.summary_tokens(F.col("gold"))
-        ).alias("sequence_f1"),
-    )
+    pairs = _summaries(spark, sf_dir)
+    return rounded(L.subsequence_overlap(pairs, ["conv_id", "turn"], "sequence_f1"), "sequence_f1")
+
+
+@query("stemmed_unigram_overlap", _gram_sql(1, "unigram_f1", STEMS_SQL))
+def stemmed_unigram_overlap(spark, sf_dir):
+    pairs = _summaries(spark, sf_dir)
+    found = L.gram_overlap(pairs, ["conv_id", "turn"], 1, "unigram_f1", stemmed=True)
+    return rounded(found, "unigram_f1")
+
+
+@query("stemmed_bigram_overlap", _gram_sql(2, "bigram_f1", STEMS_SQL))
+def stemmed_bigram_overlap(spark, sf_dir):
+    pairs = _summaries(spark, sf_dir)
+    found = L.gram_overlap(pairs, ["conv_id", "turn"], 2, "bigram_f1", stemmed=True)
+    return rounded(found, "bigram_f1")
+
+
+@query("stemmed_longest_common_f1", _sequence_sql("sequence_f1", STEMS_SQL))
+def stemmed_longest_common_f1(spark, sf_dir):
+    pairs = _summaries(spark, sf_dir)
+    found = L.subsequence_overlap(pairs, ["conv_id", "turn"], "sequence_f1", stemmed=True)
+    return rounded(found, "sequence_f1")
