@@ -226,8 +226,14 @@ def spans_of(flags: np.ndarray, length: int) -> list[int]:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Names of rows: the key and a hash of the text; a null key is replaced by another hash of it.
+
+    So different texts under one key, or without a key, stay apart and don't make a hot key.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-1))).withColumn("_c", F.crc32(body.cast("binary")))
+    return docs.withColumn(
+        "_k", F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit("no key"), body))
+    ).withColumn("_c", F.xxhash64(body))
 
 
 def all_runs(docs: DataFrame, length: int, text: str) -> DataFrame:
@@ -345,11 +351,14 @@ def counted_windows(runs: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_spans``: byte ranges (start, end in turn, unordered, may
+    """All columns of ``docs`` and ``_spans`` (which none of them may be called): byte ranges (start, end in turn, unordered, may
     overlap) that repeated strings of ``length`` bytes cover; null where there is none."""
+    if "_spans" in docs.columns:
+        raise ValueError("the documents have a column _spans already")
     if length % STEPS or length < 4 * STEPS:
         raise ValueError(f"the length must be a multiple of {STEPS} and {4 * STEPS} at least")
-    keyed = _keyed(docs, key, text)
+    inner, back = set_aside(docs, list(dict.fromkeys([key, text])))
+    keyed = _keyed(inner, key, text)
     runs = pin(all_runs(keyed, length, text))
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     kept = pin(runs.join(often, "anchor"))
@@ -366,8 +375,8 @@ def repeat_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text:
     placed = kept.join(found, ["anchor", "content"]).select(
         "_k", "_c", F.transform("spans", lambda s: s.cast("long") + F.col("start")).alias("s")
     )
-    by_doc = placed.groupBy("_k", "_c").agg(F.flatten(F.collect_list("s")).alias("_spans"))
-    return keyed.join(by_doc, ["_k", "_c"], "left").drop("_k", "_c")
+    by_doc = placed.groupBy("_k", "_c").agg(F.flatten(F.collect_set("s")).alias("_spans"))
+    return back(keyed.join(by_doc, ["_k", "_c"], "left"), "_spans")
 
 
 def joined_spans(spans: list[int] | None) -> list[tuple[int, int]]:
