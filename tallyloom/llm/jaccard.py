@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.components import components
 from tallyloom.llm.pretokens import forget
 from tallyloom.llm.rows import set_aside
-from tallyloom.llm.shingles import band_keys, band_plan, set_id, shingle_set
+from tallyloom.llm.shingles import band_keys, band_plan, set_id, shingle_set, text_id
 from tallyloom.sources.workspace import pin
 
 SMALL = 32
@@ -34,7 +34,10 @@ BLOCK = 256
 
 
 def signed_rows(docs: DataFrame, bands: int, rows: int, words: int, key: str, text: str) -> DataFrame:
-    """Per row: key, set id, number of shingles and band keys."""
+    """Per row: key, a hash of the text, set id, number of shingles and band keys.
+
+    The set of a text without words is named by the text itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -42,24 +45,31 @@ def signed_rows(docs: DataFrame, bands: int, rows: int, words: int, key: str, te
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 names, sizes, keys = [], [], []
-                for value in part.column(1):
+                for value in part.column(2):
                     found = shingle_set(value.as_py(), words)
-                    names.append(set_id(found))
+                    names.append(set_id(found) if len(found) else text_id(value.as_py()))
                     sizes.append(len(found))
                     keys.append(band_keys(found, bands, rows).view(np.int64) if len(found) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["key", "set_id", "size", "bands"],
+                    [part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["key", "mark", "set_id", "size", "bands"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, set_id binary, size long, bands array<long>")
+    return docs.select(F.col(key), F.xxhash64(text), F.col(text)).mapInArrow(
+        run, f"key {kind}, mark long, set_id binary, size long, bands array<long>"
+    )
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """The shingles of the wanted sets (``set_id``, ``key`` of a row that has it)."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
-        wanted.select("set_id", F.col("key").alias("_wanted")), F.col("_key").eqNullSafe(F.col("_wanted"))
+    """The shingles of the wanted sets (``set_id``, ``key`` and ``mark`` of a row that has it).
+
+    Rows and sets meet by the hash of the text too, so rows that share a key or have none
+    don't meet each other's sets.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text")).join(
+        wanted.select("set_id", F.col("key").alias("_wanted"), "mark"),
+        (F.col("_mark") == F.col("mark")) & F.col("_key").eqNullSafe(F.col("_wanted")),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +184,17 @@ def jaccard_classes(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``class_id`` and ``links``, the number of other rows similar to it."""
+    """Per row: ``doc_id``, ``class_id`` and ``links``, the number of other rows similar to it.
+
+    Texts without words are similar to equal texts only; an empty or null text to none.
+    """
     bands, rows = band_plan(threshold, recall)
     signed = pin(signed_rows(docs, bands, rows, words, key, text))
     sets = pin(
         signed.where("size > 0").groupBy("set_id").agg(
-            F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
-        )
+            F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
+            F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("row"),
+        ).select("set_id", "key", "copies", "bands", "row.mark")
     )
     keys = sets.select("set_id", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -195,7 +209,7 @@ def jaccard_classes(
     )
     known = sets.join(wanted, "set_id")
     full = pin(
-        full_sets(docs, known.select("set_id", "key"), words, key, text)
+        full_sets(docs, known.select("set_id", "key", "mark"), words, key, text)
         .join(known.select("set_id", "copies", "bands"), "set_id")
         .join(flags, "set_id", "left")
     )
@@ -235,8 +249,16 @@ def jaccard_classes(
         "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links")
     )
     with_words = signed.where("size > 0").select("key", "set_id").join(result, "set_id")
-    without = signed.where("size = 0").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    return with_words.select("key", "class_id", "links").unionByName(without).withColumnRenamed("key", "doc_id")
+    wordless = signed.where("size = 0")
+    equal = wordless.where("set_id is not null").groupBy("set_id").agg(
+        F.min("key").alias("class_id"), (F.count(F.lit(1)) - 1).alias("links")
+    )
+    without = (
+        wordless.where("set_id is not null").select("key", "set_id").join(equal, "set_id").select("key", "class_id", "links")
+    )
+    empty = wordless.where("set_id is null").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    named_rows = with_words.select("key", "class_id", "links").unionByName(without).unionByName(empty)
+    return named_rows.withColumnRenamed("key", "doc_id")
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:

@@ -67,6 +67,11 @@ def set_id(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def text_id(text: str | None) -> bytes | None:
+    """16 bytes that name a text without words, none for an empty one."""
+    return hashlib.blake2b(text.encode(), digest_size=16, person=b"text").digest() if text else None
+
+
 def band_plan(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """Bands and rows: the most rows whose bands still find ``recall`` of the pairs at the
     threshold with at most ``most`` hashes."""

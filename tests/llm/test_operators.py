@@ -202,7 +202,8 @@ def test_bpe_decodes_broken_bytes():
 
 
 def brute_links(rows):
-    sets = [set(shingles.shingle_set(t).tolist()) for _, t in rows]
+    # A text without words is one element: itself.
+    sets = [set(shingles.shingle_set(t).tolist()) or ({t} if t else set()) for _, t in rows]
     links, root = [0] * len(rows), list(range(len(rows)))
 
     def find(i):
@@ -243,6 +244,29 @@ def test_jaccard(spark, docs, texts, monkeypatch, small, block):
     assert got == brute_links([tuple(r) for r in every.collect()])
 
 
+def test_jaccard_of_rows_without_or_with_one_key(spark):
+    """Null and repeated keys: rows meet their own sets only; texts without words meet equal ones."""
+    bases = [" ".join(f"{n}{i}" for i in range(40)) for n in "abcdef"]
+    made = [None, "", "", "?!", "?!", "?!", "-- --", *bases, *bases[:3], *(b + " end" for b in bases)]
+    rows = [((None, 7, -1, 100 + i)[i % 4], t) for i, t in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.jaccard_classes(df).select("doc_id", "class_id", "links").collect()))
+    assert got == brute_links(rows)
+
+
+def test_full_sets_of_a_hot_key_are_not_a_product(spark):
+    rows = [(None if i % 2 else 5, f"one two three four five {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard.signed_rows(df, 2, 2, 5, "doc_id", "text")
+    wanted = signed.select("set_id", "key", "mark").distinct()
+    found = jaccard.full_sets(df, wanted, 5, "doc_id", "text")
+    assert found.count() == 400
+    met = df.select(F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_mark")).join(
+        wanted, (F.col("_mark") == F.col("mark")) & F.col("_key").eqNullSafe(F.col("key"))
+    )
+    assert met.count() == 400
+
+
 def test_jaccard_keeps_one(docs, empty):
     kept = jaccard.one_of_each_class(docs)
     assert kept.columns == docs.columns
@@ -295,6 +319,28 @@ def test_repeats(spark, docs, texts, monkeypatch, limit, length):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want
 
 
+def test_repeats_of_rows_without_or_with_one_key(spark):
+    """Rows without a key, with key -1 and with one key for all, copies among them."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("klmnop ") for _ in range(450))
+    made = [rng.choice(["", "x" * 5]) + "".join(rng.choice("abcdefgh ") for _ in range(300)) + (shared if i % 3 else "") for i in range(24)]
+    rows = [((None, -1, 7)[i % 3], t, i) for i, t in enumerate([*made, *made[:6], None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k int")
+    got = Counter(map(tuple, bwt.removal_digest(df, 400).collect()))
+    values = [(t or "").encode() for _, t, _ in rows]
+    want = Counter()
+    for (key, _, _), data, gone in zip(rows, values, brute_removal(values, 400), strict=True):
+        starts = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        want[(key, len(data), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest())] += 1
+    assert got == want
+    spans = bwt.repeat_spans(df, 400)
+    assert spans.columns == ["doc_id", "text", "_k", "_spans"]
+    assert sorted(r["_k"] for r in spans.collect()) == [r[2] for r in rows]
+    with pytest.raises(ValueError):
+        bwt.repeat_spans(df.withColumn("_spans", F.lit(1)), 400)
+
+
 def test_repeats_keep_rows(docs, empty):
     cut = bwt.without_repeats(docs, 200)
     assert cut.columns == docs.columns and cut.count() == docs.count()
