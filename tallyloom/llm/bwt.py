@@ -372,10 +372,12 @@ def repeat_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text:
     found = pin(
         indexed(texts.where("not hot"), length).unionByName(counted_windows(texts.where("hot"), length))
     )
-    placed = kept.join(found, ["anchor", "content"]).select(
+    # Rows of equal key and text have equal runs, which one of them stands for.
+    places = kept.select("_k", "_c", "start", "anchor", "content").distinct()
+    placed = places.join(found, ["anchor", "content"]).select(
         "_k", "_c", F.transform("spans", lambda s: s.cast("long") + F.col("start")).alias("s")
     )
-    by_doc = placed.groupBy("_k", "_c").agg(F.flatten(F.collect_set("s")).alias("_spans"))
+    by_doc = placed.groupBy("_k", "_c").agg(F.flatten(F.collect_list("s")).alias("_spans"))
     return back(keyed.join(by_doc, ["_k", "_c"], "left"), "_spans")
 
 
