@@ -206,10 +206,19 @@ CHECKS: dict[str, Check] = {
 }
 
 
-def check(instruction_id: Column, response: Column, kwargs: Column) -> Column:
-    """Did the response follow the instruction? Null for an unknown instruction."""
+#: The one check that needs Python, which a caller may run ahead of its rows.
+JSON_CHECK = "detectable_format:json_format"
+
+
+def check(
+    instruction_id: Column, response: Column, kwargs: Column, found_json: Column | None = None
+) -> Column:
+    """Did the response follow the instruction? Null for an unknown instruction, and only then.
+
+    ``found_json`` is the outcome of ``json_text`` where that is known already.
+    """
     found = F.lit(None).cast("boolean")
     for name, rule in CHECKS.items():
-        outcome = F.coalesce(rule(response, kwargs), F.lit(False))
-        found = F.when(instruction_id == name, outcome).otherwise(found)
-    return found
+        ahead = found_json is not None and name == JSON_CHECK
+        found = F.when(instruction_id == name, found_json if ahead else rule(response, kwargs)).otherwise(found)
+    return F.when(instruction_id.isin(*CHECKS), F.coalesce(found, F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.checks import KWARGS, check
+from tallyloom.functions.checks import JSON_CHECK, KWARGS, check, json_text
 from tallyloom.operators.scoring import share_of
 
 
@@ -13,7 +13,8 @@ def checked_instructions(prompts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per instruction of a prompt; ids and kwargs pair up by position.
 
     A missing kwargs list counts as one empty entry per id, otherwise the shorter
-    list decides.
+    list decides. The JSON check needs Python and no kwargs: it is made once a prompt, before
+    the response is repeated for each instruction.
     """
     ids = F.col("instruction_ids")
     kwargs = F.coalesce("kwargs", F.array().cast(f"array<{KWARGS}>"))
@@ -21,11 +22,15 @@ def checked_instructions(prompts: DataFrame, keys: list[str]) -> DataFrame:
         F.least(F.size(ids), F.size("kwargs"))
     )
     pairs = F.slice(F.arrays_zip(ids.alias("id"), kwargs.alias("kw")), F.lit(1), usable)
-    return prompts.select(*keys, "response", F.posexplode_outer(pairs).alias("slot", "_p")).select(
+    asked = F.when(F.array_contains(ids, JSON_CHECK), F.col("response"))
+    with_json = prompts.select(
+        *keys, "response", pairs.alias("_pairs"), json_text(asked, F.lit(None)).alias("_json")
+    )
+    return with_json.select(*keys, "response", "_json", F.posexplode_outer("_pairs").alias("slot", "_p")).select(
         *keys,
         "slot",
         F.col("_p.id").alias("instruction_id"),
-        check(F.col("_p.id"), F.col("response"), F.col("_p.kw")).alias("followed"),
+        check(F.col("_p.id"), F.col("response"), F.col("_p.kw"), F.col("_json")).alias("followed"),
     )
 
 

@@ -220,3 +220,21 @@ def test_longest_common_sequence(spark):
 def test_sequence_log_prob_is_shifted(spark):
     df = spark.createDataFrame([([-1.0, -2.0, -4.0], [1, 1, 0, 1])], "lp array<double>, m array<int>")
     assert df.select(L.sequence_log_prob(F.col("lp"), F.col("m"))).first()[0] == -5.0
+
+
+def test_the_json_check_runs_once_a_prompt(spark):
+    asked = ["punctuation:no_comma", "detectable_format:json_format", "made:up"]
+    df = spark.createDataFrame(
+        [(1, '{"a": 1, "a": 2}', asked), (2, "[1, NaN]", asked[:2]), (3, "{]", asked), (4, None, asked), (5, "{}", asked[:1]), (6, "1", None)],
+        "p int, response string, instruction_ids array<string>",
+    ).withColumn("kwargs", F.lit(None).cast(f"array<{checks.KWARGS}>"))
+    checked = I.checked_instructions(df, ["p"])
+    got = {(r["p"], r["instruction_id"]): r["followed"] for r in checked.collect()}
+    json_id, comma = asked[1], asked[0]
+    assert [got.get((p, json_id)) for p in range(1, 7)] == [True, True, False, False, None, None]
+    assert [got.get((p, comma)) for p in range(1, 7)] == [False, False, True, False, True, None]
+    assert got[1, "made:up"] is None and (6, None) in got and len(got) == 13
+    # No copy of a response for each instruction goes through Python.
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython [") == 1 and plan.index("Generate posexplode") < plan.index("EvalPython [")
+    assert "EvalPython [" not in I.unknown_instructions(checked)._jdf.queryExecution().executedPlan().toString()
