@@ -22,8 +22,8 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 )
 def streamed_token_counts(spark, sf_dir):
     folder = new_table_path(spark, "counts")
-    jobs.count_tokens(jobs.arrivals(spark, sf_dir, DOCUMENTS, "documents.parquet"), folder)
-    rows = spark.read.parquet(f"{folder}/rows")
+    jobs.count_tokens(jobs.table_arrivals(spark, sf_dir, DOCUMENTS, "documents.parquet"), folder)
+    rows = spark.read.schema(jobs.COUNTS).parquet(f"{folder}/rows")
     return rows.groupBy("source").agg(
         F.count("*").alias("examples"), F.sum("n_tokens").alias("tokens")
     )

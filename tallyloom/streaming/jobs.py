@@ -44,11 +44,22 @@ def arrivals(
     )
 
 
+def table_arrivals(spark: SparkSession, folder: str, schema: str, name: str) -> DataFrame:
+    """Arrivals of one table of a folder, be it a single file or a folder of part files.
+
+    A stream takes a single file only by a pattern, so the name's last letter is one.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}]")
+
+
 def _run(writer: DataStreamWriter, checkpoint: str) -> None:
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+COUNTS = "doc_id long, source string, n_tokens long"
+
+
 def count_tokens(stream: DataFrame, folder: str) -> None:
     """Token counts of arriving documents, appended exactly once."""
     counted = stream.filter(F.col("text") != "").select(

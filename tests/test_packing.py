@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import packing as P
 from tallyloom.operators.ordered import totals_by_key
 from tallyloom.sources import shards
+from tallyloom.plans.incremental import DOCUMENTS, streamed_token_counts
 from tallyloom.streaming import jobs
 
 
@@ -133,3 +134,20 @@ def test_a_changed_stream_is_refused(spark, tmp_path):
     jobs.check_settings(spark, str(tmp_path / "job"), {"shard_size": 5})
     with pytest.raises(ValueError):
         jobs.check_settings(spark, str(tmp_path / "job"), {"shard_size": 6})
+
+
+def test_a_table_arrives_from_one_file_or_from_part_files(spark, tmp_path):
+    rows = [(i, "one two three"[: 3 + 4 * (i % 3)] if i else "", "en", f"s{i % 2}", 9) for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    docs.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "single" / "documents.parquet")
+    want = {"s0": 5, "s1": 6}
+    for folder in ("parts", "single"):
+        got = {r["source"]: r for r in streamed_token_counts(spark, str(tmp_path / folder)).collect()}
+        assert {k: r["examples"] for k, r in got.items()} == want
+        assert sum(r["tokens"] for r in got.values()) == sum(len(r[1].split()) + 1 for r in rows if r[1])
+    none = tmp_path / "none"
+    docs.where("doc_id < 1").write.parquet(str(none / "documents.parquet"))
+    assert streamed_token_counts(spark, str(none)).count() == 0
