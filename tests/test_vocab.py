@@ -2,9 +2,12 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.functions.text import composed
 from tallyloom.operators import vocab as V
 from tallyloom.sources.workspace import pin
 from tallyloom.streaming import jobs
@@ -129,3 +132,12 @@ def test_streamed_ids_resume(spark, documents, tmp_path):
         settings = {"merges": learned, "shard_size": 3000, **changed}
         with pytest.raises(ValueError):
             jobs.tokenise_arrivals(jobs.arrivals(spark, landing, schema), folder, **settings)
+
+
+def test_texts_are_composed_without_python(spark):
+    texts = [None, "", "plain", "é", "ạ̀ ö\n\0", "각 Å ﬁ", "\U0001d15e ̈́ ẍ́", "ü" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = df.select("doc_id", composed(F.col("text")).alias("nfc"))
+    assert [r["nfc"] for r in found.orderBy("doc_id").collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    for plan in (found, V.piece_counts(df), V.token_counts(df, V.piece_lengths(V.piece_counts(df), []))):
+        assert "Python" not in plan._jdf.queryExecution().optimizedPlan().toString().replace("MapInArrow", "")
