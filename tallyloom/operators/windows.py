@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ordered import totals_by_key, whole
 from tallyloom.operators.packing import split_by_size
+from tallyloom.sources.shards import FOLDERS, first_of_folder
 
 RUN = 1 << 16
 EXACT = "decimal(38,0)"
@@ -28,38 +29,51 @@ def _joined(arrays: Sequence[str]) -> list[Column]:
 
 
 def write_token_shards(
-    rows: DataFrame, path: str, shard_tokens: int, run: int = RUN, arrays: Sequence[str] = ("ids",)
+    rows: DataFrame, path: str, shard_tokens: int, run: int = RUN, arrays: Sequence[str] = ("ids",), most: int = FOLDERS
 ) -> None:
     """Store rows with ``before``, ``n_tokens`` and arrays as shards of ``shard_tokens`` ids.
 
-    Rows are cut at the edges of shards and runs and shuffled once, by shard. The job commit makes
-    all shards visible together; the index (shard, first offset, ids, run) is written after them.
+    Rows are cut at the edges of shards and runs and shuffled once, by folder. Neighbouring shards share a
+    folder, of which there are at most ``most``; its name is its first shard. The job commit makes
+    all shards visible together; the index (shard, folder, first offset, ids, run) is written after them.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_shards = split_by_size(rows.select("before", "n_tokens", *arrays), shard_tokens, "shard_id", arrays)
     in_runs = split_by_size(
         in_shards.withColumnsRenamed({"piece_start": "before", "piece_tokens": "n_tokens"}), run, "run_id", arrays
     )
+    reach = rows.filter(F.col("n_tokens") > 0).agg(F.max(F.col("before") + F.col("n_tokens"))).first()[0] or 1
+    folder = first_of_folder(F.col("shard"), (reach - 1) // shard_tokens, most)
+    placed = in_runs.withColumnRenamed("shard_id", "shard").withColumn("shard_id", folder)
     runs = (
-        in_runs.repartition(tasks, "shard_id").groupBy("shard_id", "run_id")
+        placed.repartition(tasks, "shard_id").groupBy("shard_id", "shard", "run_id")
         .agg(F.min("piece_start").alias("first"), F.sum("piece_tokens").alias("n"), *_joined(arrays))
     )
     runs.sortWithinPartitions("shard_id", "first").write.partitionBy("shard_id").parquet(f"{path}/shards")
     spark = rows.sparkSession
-    stored = stored_runs(spark, path)
-    index = stored.groupBy("shard_id").agg(F.min("first").alias("first"), F.sum("n").alias("tokens"))
-    index.withColumn("run", F.lit(run)).write.parquet(f"{path}/index")
+    stored = _stored(spark, path, ())
+    index = stored.groupBy("shard", F.col("shard_id").alias("folder")).agg(F.min("first").alias("first"), F.sum("n").alias("tokens"))
+    index.select(F.col("shard").alias("shard_id"), "folder", "first", "tokens", F.lit(run).alias("run")).write.parquet(f"{path}/index")
+
+
+def _stored(spark: SparkSession, path: str, arrays: Sequence[str]) -> DataFrame:
+    """The rows as they are stored: ``shard_id`` names the folder, ``shard`` the shard."""
+    columns = "".join(f"{a} array<int>, " for a in arrays)
+    return spark.read.schema(f"run_id long, first long, n long, {columns}shard long, shard_id long").parquet(f"{path}/shards")
 
 
 def stored_runs(spark: SparkSession, path: str, arrays: Sequence[str] = ("ids",)) -> DataFrame:
     """``run_id``, ``first``, ``n`` and the named arrays of every run, with its ``shard_id``."""
-    columns = "".join(f"{a} array<int>, " for a in arrays)
-    return spark.read.schema(f"run_id long, first long, n long, {columns}shard_id long").parquet(f"{path}/shards")
+    return _by_shard(_stored(spark, path, arrays), arrays)
+
+
+def _by_shard(stored: DataFrame, arrays: Sequence[str]) -> DataFrame:
+    return stored.select("run_id", "first", "n", *arrays, F.col("shard").alias("shard_id"))
 
 
 def shard_index(spark: SparkSession, path: str) -> DataFrame:
-    """``shard_id``, ``first``, ``tokens``, ``run`` of every shard."""
-    return spark.read.schema("shard_id long, first long, tokens long, run int").parquet(f"{path}/index")
+    """``shard_id``, ``folder``, ``first``, ``tokens``, ``run`` of every shard."""
+    return spark.read.schema("shard_id long, folder long, first long, tokens long, run int").parquet(f"{path}/index")
 
 
 def windows_of(runs: DataFrame, length: int, arrays: Sequence[str] = ("ids",)) -> DataFrame:
@@ -94,23 +108,23 @@ def windows_of(runs: DataFrame, length: int, arrays: Sequence[str] = ("ids",)) -
 def windows_between(
     spark: SparkSession, path: str, low: int, high: int, length: int, arrays: Sequence[str] = ("ids",)
 ) -> DataFrame:
-    """Windows ``low`` to ``high`` (exclusive), reading only the shards and runs that hold them.
+    """Windows ``low`` to ``high`` (exclusive), reading only the folders and runs that hold them.
 
-    The index gives the range of shards; the offsets of the runs are tested in the scan.
+    The index gives the range of folders; the offsets of the runs are tested in the scan.
     """
     begin, end = low * length, high * length
     index = shard_index(spark, path)
     held = index.filter((F.col("first") < end) & (F.col("first") + F.col("tokens") > begin)).agg(
-        F.min("shard_id").alias("low"), F.max("shard_id").alias("high"), F.max("run").alias("run")
+        F.min("folder").alias("low"), F.max("folder").alias("high"), F.max("run").alias("run")
     ).first()
-    runs = stored_runs(spark, path, arrays)
+    stored = _stored(spark, path, arrays)
     if held["low"] is None:
-        return windows_of(runs.filter(F.lit(False)), length, arrays)
-    touched = runs.filter(
+        return windows_of(_by_shard(stored.filter(F.lit(False)), arrays), length, arrays)
+    touched = stored.filter(
         F.col("shard_id").between(held["low"], held["high"])
         & (F.col("first") < end) & (F.col("first") > begin - held["run"])
     )
-    return windows_of(touched, length, arrays).filter((F.col("window_id") >= low) & (F.col("window_id") < high))
+    return windows_of(_by_shard(touched, arrays), length, arrays).filter((F.col("window_id") >= low) & (F.col("window_id") < high))
 
 
 def windows_at(

@@ -91,7 +91,7 @@ def shard_source_counts(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    packed = packing.aligned_shards(streamed_documents(spark, sf_dir), SHARD_TOKENS)
+    packed = pin(packing.aligned_shards(streamed_documents(spark, sf_dir), SHARD_TOKENS))
     path = new_table_path(spark, "shards")
     shards.write_shards(packed, path)
     stored = shards.read_shards(spark, path)

@@ -151,3 +151,13 @@ def test_a_table_arrives_from_one_file_or_from_part_files(spark, tmp_path):
     none = tmp_path / "none"
     docs.where("doc_id < 1").write.parquet(str(none / "documents.parquet"))
     assert streamed_token_counts(spark, str(none)).count() == 0
+
+
+def test_many_shards_share_few_folders(spark, tmp_path):
+    packed = P.aligned_shards(placed(spark, [3] * 50 + [7, 9]), 10)
+    path = str(tmp_path / "s")
+    shards.write_shards(packed, path, most=5)
+    assert 1 < len(list((tmp_path / "s").glob("shard_id=*"))) <= 5
+    stored = shards.read_shards(spark, path)
+    assert sorted(stored.columns) == sorted(packed.columns)
+    assert sorted(map(tuple, stored.select(*packed.columns).collect())) == sorted(map(tuple, packed.collect()))

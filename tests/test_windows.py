@@ -111,3 +111,22 @@ def test_sources_without_target_or_weight(spark, table):
     assert weights.filter("weight <> 0").count() == 0
     with pytest.raises(ValueError):
         W.resampled(weights, 5)
+
+
+@pytest.mark.parametrize("most", [1, 4, 512])
+def test_many_shards_share_few_folders(spark, stream, table, most):
+    ids = [x for r in stream for x in r[2]]
+    path = new_table_path(spark, "t")
+    W.write_token_shards(table, path, 90, 40, most=most)
+    runs = W.stored_runs(spark, path)
+    folders = {r[0].rsplit("/", 2)[1] for r in runs.select(F.input_file_name()).collect()}
+    shards = -(-len(ids) // 90)
+    assert len(folders) == (shards if most == 512 else most)
+    got = {r["shard_id"]: r["n"] for r in runs.groupBy("shard_id").agg(F.sum("n").alias("n")).collect()}
+    assert got == {i: min(90, len(ids) - 90 * i) for i in range(shards)}
+    want = cut(ids, 64)
+    assert {r["window_id"]: r["ids"] for r in W.windows_of(runs, 64).collect()} == want
+    asked = spark.createDataFrame([(w,) for w in (0, 7, len(want))], "window_id long")
+    assert {r["window_id"]: r["ids"] for r in W.windows_at(spark, path, asked, 64).collect()} == {w: want[w] for w in (0, 7)}
+    found = W.windows_between(spark, path, 9, 11, 64)
+    assert {r["window_id"]: r["ids"] for r in found.collect()} == {w: want[w] for w in (9, 10)}
