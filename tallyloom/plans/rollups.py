@@ -8,7 +8,7 @@ from tallyloom.operators import rollup as R
 from tallyloom.plans.registry import query, table
 from tallyloom.plans.scoring import rounded
 from tallyloom.sources import records
-from tallyloom.sources.workspace import new_table_path
+from tallyloom.sources.workspace import dealt_by_file, new_table_path, pin
 
 TASKS = ["click", "error", "purchase", "signup", "view"]
 BASE_SQL = """base AS (SELECT user_id, event_type AS task, count(*) AS n, max(value) AS hi, min(value) AS lo, max(event_id) AS last,
@@ -83,9 +83,10 @@ def parsed_summaries(spark, sf_dir):
 )
 def summary_file_scan(spark, sf_dir):
     """Summaries stored as one file each and found again anywhere under the folder."""
-    files = summary_files(spark, sf_dir).withColumn("model", F.split_part("path", F.lit("/"), F.lit(2)))
+    files = pin(summary_files(spark, sf_dir).withColumn("model", F.split_part("path", F.lit("/"), F.lit(2))))
     folder = new_table_path(spark, "summaries")
-    files.select("model", "content").repartition(8, "model").write.partitionBy("model").text(folder)
+    dealt = dealt_by_file(files.select("model", "content"), "model", files.count())
+    dealt.write.partitionBy("model").text(folder)
     parsed = R.parsed_summaries(records.read_summary_files(spark, folder, "*.txt"))
     return parsed.select(
         "checkpoint",

@@ -258,3 +258,12 @@ def test_lenient_checks(spark):
     assert [r["json"] for r in found] == [True, True, True, False, False, False, False, False]
     assert [r["title"] for r in found] == [False] * 5 + [True, True, False]
     assert not any(r[f"n{k}"] for r in found for k in range(5))
+
+
+def test_many_files_are_dealt_over_more_tasks(spark):
+    rows = spark.range(1000).selectExpr("id % 500 AS model")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert workspace.dealt_by_file(rows, "model", 5).rdd.getNumPartitions() == usual
+    many = workspace.FILES_PER_TASK * (usual + 3) + 1
+    assert workspace.dealt_by_file(rows, "model", many).rdd.getNumPartitions() == usual + 4
+    assert workspace.dealt_by_file(rows, "model", many).count() == 1000
