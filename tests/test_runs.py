@@ -8,7 +8,7 @@ from tallyloom.functions.text import decoded
 from tallyloom.operators import rollup as R
 from tallyloom.operators import runlogs as G
 from tallyloom.operators import vocab as V
-from tallyloom.sources import corpora, records
+from tallyloom.sources import corpora, records, workspace
 from tallyloom.streaming import jobs
 
 LOG = (
