@@ -18,7 +18,9 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,16 +132,62 @@ def joined_symbols(symbols: str, ranks: dict[str, tuple[int, str]]) -> str:
     return "".join(at)
 
 
+class PairSet:
+    """Pairs of symbols that are looked for in whole batches of texts at once.
+
+    Most pairs of a text fail by their left or right symbol alone; only the others are searched for.
+    """
+
+    def __init__(self, pairs: Iterable[str]) -> None:
+        codes = _codes("".join(pairs)).reshape(-1, 2)
+        self.known = np.unique(_pair_codes(codes[:, 0], codes[:, 1]))
+        self.left, self.right = (np.zeros(int(codes.max(initial=0)) + 2, dtype=bool) for _ in "ab")
+        self.left[codes[:, 0]] = self.right[codes[:, 1]] = True
+
+    def found(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Positions of symbols that make a pair of the set with the next one of their text."""
+        beyond = len(self.left) - 1
+        held = np.minimum(codes, beyond)
+        maybe = self.left[held[:-1]] & self.right[held[1:]]
+        maybe[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(codes))] - 1] = False
+        at = np.flatnonzero(maybe)
+        if not len(at):
+            return at
+        wanted = _pair_codes(codes[at], codes[at + 1])
+        place = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
+        return at[self.known[place] == wanted]
+
+
+def _codes(symbols: str) -> np.ndarray:
+    return np.frombuffer(symbols.encode("utf-32-le") or bytearray(), dtype=np.uint32)
+
+
+def _pair_codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
+
+def _laid_out(texts: pa.StringArray) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts in a row, their symbols' codes, and where each text ends; no text is taken out by itself."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(texts)], texts), "")[0].as_py()
+    return joined, _codes(joined), np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def with_merges(words: DataFrame, learned: list[tuple[int, int, int, int]]) -> DataFrame:
     """The symbols ``s`` of all pieces after some merges; pieces are not moved."""
     ranks = {symbol(a) + symbol(b): (i, symbol(new)) for i, (a, b, new, _) in enumerate(learned)}
     place = words.columns.index("s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = PairSet(ranks)
         for batch in batches:
-            joined = [joined_symbols(x, ranks) for x in batch.column(place).to_pylist()]
+            texts = batch.column(place)
+            _, codes, ends = _laid_out(texts)
+            touched = np.unique(np.searchsorted(ends, pairs.found(codes, ends), side="right"))
+            joined = [joined_symbols(x, ranks) for x in texts.take(pa.array(touched)).to_pylist()]
+            there = np.zeros(len(texts), dtype=bool)
+            there[touched] = True
             columns = list(batch.columns)
-            columns[place] = pa.array(joined, batch.schema.types[place])
+            columns[place] = pc.replace_with_mask(texts, pa.array(there), pa.array(joined, texts.type))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return words.mapInArrow(run, words.schema)
@@ -147,16 +195,27 @@ def with_merges(words: DataFrame, learned: list[tuple[int, int, int, int]]) -> D
 
 def chains_of(symbols: str, pairs: set[str]) -> Iterator[str]:
     """Longest runs of symbols whose adjacent pairs are all among ``pairs``."""
-    start = 0
-    for i in range(1, len(symbols) + 1):
-        if i == len(symbols) or symbols[i - 1 : i + 1] not in pairs:
-            if i - start > 1:
-                yield symbols[start:i]
-            start = i
+    return (chain for _, chain in chains_in(pa.array([symbols]), PairSet(pairs)))
+
+
+def chains_in(texts: pa.StringArray, pairs: PairSet) -> Iterator[tuple[int, str]]:
+    """The chains of many texts, each with the place of its text."""
+    joined, codes, ends = _laid_out(texts)
+    at = pairs.found(codes, ends)
+    if not len(at):
+        return
+    # The last symbol of a text begins no pair, so runs of positions never go on into the next text.
+    gaps = np.flatnonzero(np.diff(at) != 1)
+    first = at[np.concatenate([[0], gaps + 1])]
+    last = at[np.concatenate([gaps, [len(at) - 1]])]
+    owner = np.searchsorted(ends, first, side="right")
+    for i, start, stop in zip(owner.tolist(), first.tolist(), (last + 2).tolist(), strict=True):
+        yield i, joined[start:stop]
 
 
 def _counted_chains(pairs: set[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked_for = PairSet(pairs)
         counts: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -165,9 +224,9 @@ def _counted_chains(pairs: set[str]) -> Callable:
             return pa.RecordBatch.from_arrays(columns, names=["chain", "n"])
 
         for batch in batches:
-            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for chain in chains_of(symbols, pairs):
-                    counts[chain] += n
+            weights = batch.column(1).to_numpy().tolist()
+            for i, chain in chains_in(batch.column(0), looked_for):
+                counts[chain] += weights[i]
             if len(counts) > HELD:
                 yield out()
         yield out()
@@ -256,7 +315,7 @@ def learned_merges(
                 (pair, n) = top[0]
                 new = [(token_id(pair[0]), token_id(pair[1]), next_id, n)]
                 break
-            found = words.mapInArrow(_counted_chains(above), "chain string, n long")
+            found = words.select("s", "n").mapInArrow(_counted_chains(above), "chain string, n long")
             rows = found.groupBy("chain").agg(F.sum("n").alias("n")).limit(chains + 1).collect()
             if len(rows) <= chains:
                 new = followed_merges([(r["chain"], r["n"]) for r in rows], floor, merges - len(learned), next_id)

@@ -141,3 +141,32 @@ def test_texts_are_composed_without_python(spark):
     assert [r["nfc"] for r in found.orderBy("doc_id").collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
     for plan in (found, V.piece_counts(df), V.token_counts(df, V.piece_lengths(V.piece_counts(df), []))):
         assert "Python" not in plan._jdf.queryExecution().optimizedPlan().toString().replace("MapInArrow", "")
+
+
+def test_chains_and_merges_of_many_texts_at_once(spark):
+    """Batches are searched as one row of symbols; nothing goes on from one text into the next."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    letters = "abcd\U00010400"
+
+    def plain(text, pairs):
+        start = 0
+        for i in range(1, len(text) + 1):
+            if i == len(text) or text[i - 1 : i + 1] not in pairs:
+                if i - start > 1:
+                    yield text[start:i]
+                start = i
+
+    for _ in range(300):
+        texts = ["".join(rng.choices(letters, k=rng.choice((0, 1, 2, 9)))) for _ in range(rng.randrange(8))]
+        pairs = {"".join(rng.choices(letters, k=2)) for _ in range(rng.randrange(8))}
+        want = [(i, chain) for i, text in enumerate(texts) for chain in plain(text, pairs)]
+        batch = pa.array(["ab", *texts], pa.string()).slice(1)
+        assert list(V.chains_in(batch, V.PairSet(pairs))) == want
+    ids = [300, 301, 302, 300, 301, 5]
+    merges = [(300, 301, 400, 9), (400, 302, 401, 5)]
+    rows = ["".join(map(V.symbol, ids)), V.symbol(301) + V.symbol(300), V.symbol(300), ""]
+    words = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "n long, s string").coalesce(1)
+    got = {r["n"]: [V.token_id(c) for c in r["s"]] for r in V.with_merges(words, merges).collect()}
+    assert got == {0: [401, 400, 5], 1: [301, 300], 2: [300], 3: []}
