@@ -582,3 +582,18 @@ def test_words_are_held_by_bytes(monkeypatch):
     assert len(coder.known) < 50
     pretokens.forget()
     assert library_pretokens.cache_info().currsize == 0
+
+
+def test_repeats_are_marked_next_to_the_digest(spark, tmp_path):
+    """Lengths do not tell which documents lose bytes; the mark does, at 400 bytes and not below."""
+    from tallyloom.llm import queries
+
+    rng = random.Random(11)
+    passage, short = ("".join(rng.choices("abcdefgh ", k=n)) for n in (400, 399))
+    own = ["".join(rng.choices("ijklmnop ", k=500)) for _ in range(5)]
+    texts = [own[0] + passage, passage + own[1], short + own[2], own[3] + short, own[4], "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_bwt_repeats(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeat"]
+    got = {r["doc_id"]: (r["n_removed"], r["has_repeat"]) for r in found.collect()}
+    assert got == {0: (400, True), 1: (400, True)} | {i: (0, False) for i in range(2, 7)}
