@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +32,29 @@ def char_ids(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<int>")).otherwise(ids)
 
 
+#: Texts of a batch that are turned into ids at a time.
+TEXTS = 256
+
+
+def batch_char_ids(text: Column) -> Column:
+    """``char_ids`` of whole texts and the end of text, made from Arrow batches."""
+
+    @F.arrow_udf("array<int>")
+    def make(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(texts), TEXTS):
+            part = texts.slice(at, TEXTS)
+            ended = "".join([f"{t}\0" for t in part.drop_null().to_pylist()])
+            ids = np.frombuffer(ended.encode("utf-32-le"), np.int32) % CHAR_IDS + FIRST_CHAR_ID
+            sizes = pc.fill_null(pc.add(pc.utf8_length(part), 1), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids[ends[1:][sizes > 0] - 1] = EOS_ID
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=part.is_null()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return make(text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

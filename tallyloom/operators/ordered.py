@@ -86,10 +86,12 @@ def totals_by_key(
     key: str,
     groups: Sequence[str] = (),
     width: int | None = None,
+    per_core: int = 4,
 ) -> DataFrame:
     """``running_totals`` in the order of a unique integer key.
 
-    Chunks are equal key ranges, by default narrow enough to occupy every core. Keys
+    Chunks are equal key ranges, by default narrow enough to give every core ``per_core`` of them; rows
+    that carry texts need more, so that a chunk is sorted in memory and tasks get equal shares. Keys
     with so wide gaps that the chunk sums would not fit one task are sorted into ranges
     instead.
     """
@@ -97,7 +99,7 @@ def totals_by_key(
     reach = 0 if ends["low"] is None else ends["high"] - ends["low"]
     if width is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        width = min(CHUNK, max(NARROWEST_CHUNK, reach // (4 * cores)))
+        width = min(CHUNK, max(NARROWEST_CHUNK, reach // (per_core * cores)))
     if reach // width > MOST_CHUNKS:
         return totals_by_sort(df, values, [F.col(key)], groups)
     return running_totals(df, values, key_chunk(key, width), [F.col(key)], groups)

@@ -218,21 +218,15 @@ def split_by_size(docs: DataFrame, size: int, id_name: str, arrays=("ids",)) ->
     )
     others = [c for c in docs.columns if c not in (*arrays, "before", "n_tokens")]
 
-    def piece(number):
-        start = F.greatest(F.col("before"), number * size)
-        stop = F.least(end, (number + 1) * size)
-        skip = (start - F.col("before")).cast("int")
-        return F.struct(
-            number.alias(id_name),
-            start.alias("piece_start"),
-            (stop - start).alias("piece_tokens"),
-            *[F.slice(a, skip + 1, (stop - start).cast("int")).alias(a) for a in arrays],
-        )
-
-    pieces = docs.filter(F.col("n_tokens") > 0).select(
-        *others, F.explode(F.transform(numbers, piece)).alias("_p")
+    pieces = docs.filter(F.col("n_tokens") > 0).select(*docs.columns, F.explode(numbers).alias("_piece"))
+    # Cut after the explode: a slice inside a lambda would box all ids of the row for each piece.
+    start = F.greatest(F.col("before"), F.col("_piece") * size)
+    tokens = F.least(end, (F.col("_piece") + 1) * size) - start
+    skip = (start - F.col("before")).cast("int")
+    return pieces.select(
+        *others, F.col("_piece").alias(id_name), start.alias("piece_start"), tokens.alias("piece_tokens"),
+        *[F.slice(a, skip + 1, tokens.cast("int")).alias(a) for a in arrays],
     )
-    return pieces.select(*others, "_p.*")
 
 
 def fixed_windows(docs: DataFrame, length: int) -> DataFrame:

@@ -49,7 +49,7 @@ def write_token_shards(
         placed.repartition(tasks, "shard_id").groupBy("shard_id", "shard", "run_id")
         .agg(F.min("piece_start").alias("first"), F.sum("piece_tokens").alias("n"), *_joined(arrays))
     )
-    runs.sortWithinPartitions("shard_id", "first").write.partitionBy("shard_id").parquet(f"{path}/shards")
+    runs.sortWithinPartitions("shard_id", "first").write.partitionBy("shard_id").orc(f"{path}/shards")
     spark = rows.sparkSession
     stored = _stored(spark, path, ())
     index = stored.groupBy("shard", F.col("shard_id").alias("folder")).agg(F.min("first").alias("first"), F.sum("n").alias("tokens"))
@@ -59,7 +59,7 @@ def write_token_shards(
 def _stored(spark: SparkSession, path: str, arrays: Sequence[str]) -> DataFrame:
     """The rows as they are stored: ``shard_id`` names the folder, ``shard`` the shard."""
     columns = "".join(f"{a} array<int>, " for a in arrays)
-    return spark.read.schema(f"run_id long, first long, n long, {columns}shard long, shard_id long").parquet(f"{path}/shards")
+    return spark.read.schema(f"run_id long, first long, n long, {columns}shard long, shard_id long").orc(f"{path}/shards")
 
 
 def stored_runs(spark: SparkSession, path: str, arrays: Sequence[str] = ("ids",)) -> DataFrame:
@@ -152,7 +152,9 @@ def windows_at(
         "window_id", "shard_id", F.explode(F.sequence(whole(start, run), whole(stop - 1, run))).alias("run_id")
     )
     runs = stored_runs(spark, path, arrays).withColumnRenamed("first", "run_first")
-    met = needed.join(runs, ["shard_id", "run_id"])
+    # One row for each run, so that its ids pass the join once and not for every window.
+    listed = needed.groupBy("shard_id", "run_id").agg(F.collect_list("window_id").alias("_asked"))
+    met = listed.join(runs, ["shard_id", "run_id"]).select("run_first", "n", *arrays, F.explode("_asked").alias("window_id"))
     at, until = F.greatest(begin, F.col("run_first")), F.least(end, F.col("run_first") + F.col("n"))
     pieces = met.select(
         "window_id", at.alias("piece_start"),

@@ -40,8 +40,8 @@ def streamed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         (F.char_length("text") + 1).cast("long").alias("n_tokens"),
     )
-    placed = totals_by_key(rows, {"before": F.col("n_tokens")}, "doc_id")
-    return placed.withColumn("ids", K.with_eos(K.char_ids(F.col("text")))).drop("text")
+    placed = totals_by_key(rows, {"before": F.col("n_tokens")}, "doc_id", per_core=64)
+    return placed.withColumn("ids", K.batch_char_ids(F.col("text"))).drop("text")
 
 
 # Shards are a recurrence over rows, so the SQL walks the ordered rows one by one.
@@ -302,7 +302,8 @@ def stored_ids(spark, sf_dir):
 
 
 def _md5(name):
-    return F.md5(F.array_join(name, ",").cast("binary")).alias(f"{name}_md5")
+    """Of the numbers with commas between them; as JSON they are written without a string for each."""
+    return F.md5(F.btrim(F.to_json(name), F.lit("[]")).cast("binary")).alias(f"{name}_md5")
 
 
 IDS_SQL = """array_to_string(list_transform(string_split(body, ''), lambda c: CASE WHEN c = chr(1) THEN 1 ELSE 2 + unicode(c) % 30 END), ',')"""

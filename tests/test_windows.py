@@ -130,3 +130,29 @@ def test_many_shards_share_few_folders(spark, stream, table, most):
     assert {r["window_id"]: r["ids"] for r in W.windows_at(spark, path, asked, 64).collect()} == {w: want[w] for w in (0, 7)}
     found = W.windows_between(spark, path, 9, 11, 64)
     assert {r["window_id"]: r["ids"] for r in found.collect()} == {w: want[w] for w in (9, 10)}
+
+
+def test_ids_of_texts_by_batch(spark):
+    from tallyloom.functions import tokens as K
+
+    texts = ["a", "naïve 字😀", None, "x" * 700, "", "a\x00b"] * 90
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = {r["i"]: r["ids"] for r in rows.select("i", K.batch_char_ids(F.col("t")).alias("ids")).collect()}
+    assert got == {i: None if t is None else [ord(c) % 30 + 2 for c in t] + [1] for i, t in enumerate(texts)}
+
+
+def test_long_rows_are_not_boxed_or_repeated(spark, table):
+    from tallyloom.operators.packing import split_by_size
+
+    cut = split_by_size(table, 64, "w", ("ids", "mask"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in cut
+    path = new_table_path(spark, "t")
+    W.write_token_shards(table, path, 1000, 640)
+    asked = spark.range(200).withColumnRenamed("id", "window_id")
+    found = W.windows_at(spark, path, asked, 8)
+    assert found.count() == 200
+    # The ids of a run pass the join once, whatever number of its windows is asked for.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    joins = [i for i, line in enumerate(lines) if line.startswith("Join") and "run_id" in line]
+    assert "explode(_asked" in " ".join(lines[: joins[0]])
