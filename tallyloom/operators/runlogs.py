@@ -68,16 +68,18 @@ def loss_points(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     return _first_losses(_marked(lines, "file", "line_no"), width)
 
 
-def block_loss_points(lines: DataFrame, width: int = BLOCK_CHUNK) -> DataFrame:
+def block_loss_points(lines: DataFrame, width: int = BLOCK_CHUNK, log: str = "file") -> DataFrame:
     """``loss_points`` of lines that were read in blocks (``file``, ``block``, ``place``, ``line``).
 
+    ``log`` names the log of a line where a file holds several; a log must not go on in another file.
+
     Only parsed lines are kept and numbered: a block of n bytes has at most n + 1 lines, so twice its start plus
     the place after its first kept line is in file order. The stage goes on over the edges of blocks.
     """
-    marked = _marked(lines, "file", "block", "place")
+    marked = _marked(lines, *dict.fromkeys(["file", "block", "place", log]))
     begins = marked.groupBy("file", "block").agg(F.min("place").alias("_begin"))
     numbered = marked.join(begins, ["file", "block"]).select(
-        "file", (2 * F.col("block") + F.col("place") - F.col("_begin")).alias("line_no"), "named", "step", "loss", "lr"
+        F.col(log).alias("file"), (2 * F.col("block") + F.col("place") - F.col("_begin")).alias("line_no"), "named", "step", "loss", "lr"
     )
     return _first_losses(numbered, width)
 

@@ -46,6 +46,25 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_shared_logs(lines: DataFrame, path: str) -> None:
+    """Log files that several logs share, one for each task: a file for every small log costs more to open than to fill.
+
+    ``lines`` has ``log``, ``line_no`` and ``value`` (a line with its end). A line starts with the name of its log and a
+    tab; a log without a name has an empty one. The lines of a log stand in one file, in order.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.repartition(tasks, "log").sortWithinPartitions("log", "line_no")
+    named = F.concat(F.coalesce(F.col("log").cast("string"), F.lit("")), F.lit("\t"), "value")
+    rows.select(named.alias("value")).write.option("lineSep", "\r").option("maxRecordsPerFile", 0).text(path)
+
+
+def read_shared_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``read_log_lines`` of shared files, with the ``log`` each line belongs to; lines without a tab belong to none."""
+    lines = read_log_lines(spark, path).filter(F.contains("line", F.lit("\t")))
+    log = F.substring_index("line", "\t", 1)
+    return lines.select("file", "block", "place", log.alias("log"), F.substr("line", F.char_length(log) + 2).alias("line"))
+
+
 def read_summary_files(
     spark: SparkSession, path: str, name: str = "eval_all_summary.json"
 ) -> DataFrame:

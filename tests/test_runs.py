@@ -267,3 +267,42 @@ def test_many_files_are_dealt_over_more_tasks(spark):
     many = workspace.FILES_PER_TASK * (usual + 3) + 1
     assert workspace.dealt_by_file(rows, "model", many).rdd.getNumPartitions() == usual + 4
     assert workspace.dealt_by_file(rows, "model", many).count() == 1000
+
+
+def test_logs_that_share_files(spark):
+    """Few files for many logs, cut by blocks; a line may hold tabs, a log may have no name."""
+    rng = random.Random(5)
+    names = ["Pretraining", "sft\trun", "dpo", "idle"]
+    rows = []
+    for log in [None, -4, *range(10)]:
+        for i in range(rng.randrange(1, 40)):
+            line = f"now {rng.choice(names)}" if rng.random() < 0.2 else f"step={rng.randrange(9)} loss={rng.random():.4f} x lr=1.5e-4"
+            rows.append((log, i, line, rng.choice("\n\r")))
+    lines = spark.createDataFrame(rows, "log long, line_no long, line string, ending string")
+    named = lines.select(F.coalesce(F.col("log").cast("string"), F.lit("")).alias("file"), "line_no", "line")
+    want = {tuple(r) for r in G.loss_points(named).collect()}
+    path = workspace.new_table_path(spark, "shared-logs")
+    records.write_shared_logs(lines.withColumn("value", F.concat("line", "ending")), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "397b")
+        read = records.read_shared_logs(spark, path)
+        assert read.count() == len(rows)
+        found = G.block_loss_points(read, log="log").collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_log_files_do_not_grow_with_the_users(spark, tmp_path, monkeypatch):
+    from tallyloom.plans import runlogs as plan
+
+    rows = [(i, i % 300, "view" if i < 900 else "click", 1.5) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    stored = tmp_path / "stored"
+    monkeypatch.setattr(plan, "new_table_path", lambda *_: str(stored))
+    found = {tuple(r) for r in plan.log_file_points(spark, str(tmp_path)).collect()}
+    assert found == {tuple(r) for r in plan.loss_points(spark, str(tmp_path)).collect()} and found
+    assert len(list(stored.rglob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
